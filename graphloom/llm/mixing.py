@@ -123,57 +123,73 @@ def _edge(docs: DataFrame, by: list[str], cell: str) -> DataFrame:
     return passed.groupBy(*by).agg(F.min(F.struct(F.col(cell).alias("edge"), (F.col("rest") - F.col("upto") + F.col("s")).alias("left"))).alias("m")).select(*by, "m.edge", "m.left")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def draw_hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """How many of ``drawn`` items out of ``total`` are among the ``marked`` ones, by inversion of u in [0, 1).
 
     Terms are built by their ratio from 12 deviations below the mean to 12 above, which holds all but 1e-30 of the mass.
     """
-    t, m, d = (c.cast("double") for c in (total, marked, drawn))
-    mean = F.when(t > 0, d * m / t).otherwise(F.lit(0.0))
-    spread = F.sqrt(F.when(t > 1, mean * (1 - m / t) * (t - d) / (t - 1)).otherwise(F.lit(0.0))) * 12 + 2
-    least = F.greatest(F.lit(0.0), d - (t - m))
-    lo = F.greatest(least, F.floor(mean - spread)).cast("long")
-    hi = F.least(F.least(d, m), F.ceil(mean + spread)).cast("long")
-    terms = F.aggregate(
-        F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>")), F.array(F.lit(1.0)),
-        lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) * ((m - k) * (d - k)) / ((k + 1.0) * (t - m - d + k + 1.0)))),
-    )
-    whole = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
-    picked = F.aggregate(
-        terms, F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("k")),
-        lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["k"] + (a["sum"] + x <= u * whole).cast("long")).alias("k")),
-    )
-    return F.least(hi, lo + picked["k"])
+
+    def bounds(a: Column) -> Column:
+        t, m, d = a["t"], a["m"], a["d"]
+        mean = F.when(t > 0, d * m / t).otherwise(F.lit(0.0))
+        spread = F.sqrt(F.when(t > 1, mean * (1 - m / t) * (t - d) / (t - 1)).otherwise(F.lit(0.0))) * 12 + 2
+        lo = F.greatest(F.lit(0.0), d - (t - m), F.floor(mean - spread)).cast("long")
+        hi = F.least(d, m, F.ceil(mean + spread)).cast("long")
+        return F.struct(t.alias("t"), m.alias("m"), d.alias("d"), a["u"].alias("u"), lo.alias("lo"), hi.alias("hi"))
+
+    def invert(b: Column) -> Column:
+        ratio = lambda k: (b["m"] - k) * (b["d"] - k) / ((k + 1.0) * (b["t"] - b["m"] - b["d"] + k + 1.0))
+        steps = F.when(b["hi"] > b["lo"], F.sequence(b["lo"], b["hi"] - 1)).otherwise(F.array().cast("array<bigint>"))
+        one = F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("sum"))
+        grow = lambda a, k: _let(a["p"] * ratio(k), lambda p: F.struct(p.alias("p"), (a["sum"] + p).alias("sum")))
+        whole = F.aggregate(steps, one, grow)["sum"]
+
+        def seek(goal: Column) -> Column:
+            start = F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("sum"), b["lo"].alias("k"))
+            step = lambda a, k: F.when(a["sum"] > goal, a).otherwise(
+                _let(a["p"] * ratio(k), lambda p: F.struct(p.alias("p"), (a["sum"] + p).alias("sum"), (k + 1).alias("k"))))
+            return F.aggregate(steps, start, step)["k"]
+
+        return _let(whole * b["u"], seek)
+
+    args = F.struct(total.cast("double").alias("t"), marked.cast("double").alias("m"), drawn.cast("double").alias("d"), u.alias("u"))
+    return _let(_let(args, bounds), invert)
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     """(shard, key, first, n): how many of each source's blocks every shard gets, and from which of its permutation on.
 
     ``quotas`` holds (key, blocks). Every source's n add up to its blocks, and shards differ by one block at most
-    in all. The tree works on one row for each node and source.
+    in all. A node of the tree is one row with its sources' counts, so splitting needs no shuffle.
     """
-    order = W.partitionBy("lo", "hi").orderBy("key")
-    node = quotas.select("key", F.col("blocks").cast("long").alias("n"), F.lit(0).alias("lo"), F.lit(shards).alias("hi"), F.lit(0).cast("long").alias("first"))
+    node = quotas.groupBy(F.lit(0).alias("lo"), F.lit(shards).alias("hi")).agg(
+        F.sum("blocks").cast("long").alias("total"),
+        F.sort_array(F.collect_list(F.struct("key", F.col("blocks").cast("long").alias("n"), F.lit(0).cast("long").alias("first")))).alias("s"))
     size, level = shards, 0
     while size > 1:
-        node = node.groupBy("lo", "hi").agg(F.sort_array(F.collect_list(F.struct("key", "n", "first"))).alias("s"), F.sum("n").alias("total"))
-        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        left = F.floor((F.col("total") * (mid - F.col("lo")) + (F.col("hi") - F.col("lo")) - 1) / (F.col("hi") - F.col("lo"))).cast("long")
-        start = F.struct(F.col("total").alias("total"), left.alias("left"), F.array().cast("array<bigint>").alias("got"))
+        mid = F.expr("(lo + hi) div 2").cast("int")
+        share = F.expr("(total * ((lo + hi) div 2 - lo) + hi - lo - 1) div (hi - lo)").cast("long")
 
-        def step(a, x):
+        def step(a: Column, x: Column) -> Column:
             u = F.pmod(F.xxhash64(F.lit(seed + 1), F.lit(level), F.col("lo"), x["key"]), F.lit(1 << 40)) / float(1 << 40)  # noqa: B023
-            k = draw_hypergeometric(a["total"], x["n"], a["left"], u)
-            return F.struct((a["total"] - x["n"]).alias("total"), (a["left"] - k).alias("left"), F.concat(a["got"], F.array(k)).alias("got"))
-
-        node = node.filter(F.col("hi") - F.col("lo") > 1).withColumn("mid", mid).withColumn("got", F.aggregate("s", start, step)["got"]).select(
-            "lo", "mid", "hi", F.explode(F.arrays_zip("s", "got")).alias("x")
-        ).select(F.explode(F.array(
-            F.struct(F.col("x.s.key").alias("key"), F.col("x.got").alias("n"), F.col("lo").alias("lo"), F.col("mid").alias("hi"), F.col("x.s.first").alias("first")),
-            F.struct(F.col("x.s.key").alias("key"), (F.col("x.s.n") - F.col("x.got")).alias("n"), F.col("mid").alias("lo"), F.col("hi").alias("hi"), (F.col("x.s.first") + F.col("x.got")).alias("first")),
-        )).alias("y")).select("y.*").unionByName(node.filter(F.col("hi") - F.col("lo") <= 1).select(F.explode("s").alias("x"), "lo", "hi").select("x.key", "x.n", "lo", "hi", "x.first"))
+            return _let(draw_hypergeometric(a["total"], x["n"], a["left"], u), lambda k: F.struct(
+                (a["total"] - x["n"]).alias("total"), (a["left"] - k).alias("left"), F.concat(a["got"], F.array(k)).alias("got")))
+
+        start = F.struct(F.col("total").alias("total"), F.col("left").alias("left"), F.array().cast("array<bigint>").alias("got"))
+        split = node.withColumns({"mid": mid, "left": share}).withColumn("got", F.when(F.col("hi") - F.col("lo") > 1, F.aggregate("s", start, step)["got"]))
+        half = lambda n, first: F.zip_with("s", "got", lambda x, k: F.struct(x["key"].alias("key"), n(x, k).alias("n"), first(x, k).alias("first")))
+        halves = F.array(
+            F.struct("lo", F.col("mid").alias("hi"), F.col("left").alias("total"), half(lambda x, k: k, lambda x, k: x["first"]).alias("s")),
+            F.struct(F.col("mid").alias("lo"), "hi", (F.col("total") - F.col("left")).alias("total"), half(lambda x, k: x["n"] - k, lambda x, k: x["first"] + k).alias("s")))
+        whole = F.array(F.struct("lo", "hi", "total", "s"))
+        node = split.select(F.explode(F.when(F.col("hi") - F.col("lo") > 1, halves).otherwise(whole)).alias("y")).select("y.*")
         size, level = (size + 1) // 2, level + 1
-    return node.select(F.col("lo").alias("shard"), "key", "first", "n")
+    return node.select(F.col("lo").alias("shard"), F.explode("s").alias("x")).select("shard", "x.key", "x.first", "x.n")
 
 
 def draw(decided: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
