@@ -84,4 +84,6 @@ def keyed_labels(documents: DataFrame, labels: DataFrame, label: str, keep: Colu
     for y, n in sizes.items():
         share = F.when(F.col("y") == y, F.lit(min(1.0, wanted / max(n, 1)))).otherwise(share)
     picked = known.filter(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_003)) < share * 1_000_003)
-    return documents.select("doc_id", "text").join(picked, "doc_id")
+    picked = stash(picked.select("doc_id", "y"))
+    few = picked.count() <= 4 * wanted  # holds unless the hash fails badly: then the sample is joined by a shuffle
+    return documents.select("doc_id", "text").join(F.broadcast(picked) if few else picked, "doc_id")
