@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, stash
-from .textops import as_bytes, buffers, mix, prefix_hash, span_hash
+from .textops import as_bytes, buffers, mix, prefix_hash, rolling_hash, span_hash
 
 WINDOW, GRAM = 100, 24
 #: Bytes of pieces that one collection takes.
-COLLECTION = 4 << 20
+COLLECTION = 1 << 20
 _LOW = np.uint64((1 << 31) - 1)
 
 
@@ -35,7 +35,7 @@ def anchors(buf: np.ndarray, base: np.ndarray, prefix: np.ndarray) -> tuple[np.n
     none = np.zeros(0, np.int64)
     if n < WINDOW:
         return none, none, none, none.astype(np.uint64)
-    grams = span_hash(prefix, np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
+    grams = rolling_hash(prefix, GRAM)
     coded = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
     span = WINDOW - GRAM + 1
     windows = n - WINDOW + 1
@@ -210,6 +210,56 @@ def _contents(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.select("doc", "h", "text", "p").mapInArrow(run, "anchor long, piece long, doc long, h long, start long, bytes binary")
 
 
+def shared_span(pieces: list[bytes], anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of what of each piece, around its anchor, may lie in a window that another piece holds too.
+
+    A window holds its anchor, so on either side it reaches no further than the longest context that the piece shares
+    with another of its anchor. These are found by hashes of growing contexts. Pieces are distinct, and none holds one
+    window twice (equal windows have their anchor at one distance).
+    """
+    n, size = len(pieces), np.array([len(p) for p in pieces], np.int64)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    buf = np.frombuffer(b"".join(pieces), np.uint8)
+    end = np.cumsum(size)
+    start = end - size
+    prefix = prefix_hash(buf)
+    owner = np.repeat(np.arange(n), size)
+    gram = rolling_hash(prefix, GRAM)
+    hit = np.flatnonzero(gram == anchor[owner[: len(gram)]])
+    hit = hit[hit + GRAM <= end[owner[hit]]]
+    who, first = np.unique(owner[hit], return_index=True)
+    at = np.full(n, -1, np.int64)
+    at[who] = hit[first]
+    assert (at >= 0).all(), "a piece without its anchor"
+    reach = []
+    for room, span in ((at - start, lambda i, k: (at[i] - k, at[i] + GRAM)), (end - at - GRAM, lambda i, k: (at[i], at[i] + GRAM + k))):
+        best = np.zeros(n, np.int64)
+
+        def spread(i: np.ndarray, k: np.ndarray, best=best, span=span) -> np.ndarray:
+            """Those of pieces i that share a context of length k with another; best goes up to k."""
+            _, back, count = np.unique(span_hash(prefix, *span(i, k)), return_inverse=True, return_counts=True)
+            i = i[count[back] > 1]
+            best[i] = np.maximum(best[i], k[count[back] > 1] if len(k) else 0)
+            return i
+
+        live = np.arange(n)
+        for k in range(4, WINDOW - GRAM + 1, 4):
+            live = live[room[live] >= k]
+            if not len(live):
+                break
+            live = spread(live, np.full(len(live), k))
+        for k in range(1, WINDOW - GRAM + 1):
+            if k % 4:
+                i = np.flatnonzero((best >= k - k % 4) & (best < k) & (best + 4 > k) & (room >= k))
+                # Pieces that reach further share this length too, so they are counted along.
+                j = np.flatnonzero((best >= k) & (room >= k))
+                if len(i):
+                    spread(np.concatenate([i, j]), np.full(len(i) + len(j), k))
+        reach.append(best)
+    return at - start - reach[0], at - start + GRAM + reach[1]
+
+
 def _judged(contents: DataFrame) -> DataFrame:
     """(anchor, piece, gone): a bit for each window of the piece's first place, set if an equal window is earlier.
 
@@ -219,14 +269,24 @@ def _judged(contents: DataFrame) -> DataFrame:
     def judge(rows: pa.Table) -> pa.RecordBatch:
         doc, h, start = (rows.column(c).to_numpy() for c in ("doc", "h", "start"))
         data = rows.column("bytes").to_pylist()
+        lo, hi = shared_span(data, rows.column("anchor").to_numpy().view(np.uint64))
+        # Of equal spans the first place stands for all; every window of the others is a repeat.
+        members = np.flatnonzero(hi - lo >= WINDOW)
+        members = members[np.lexsort(((start + lo)[members], h[members], doc[members]))]
+        heads: dict[bytes, int] = {}
+        flags = [np.zeros(len(d) - WINDOW + 1, np.uint8) for d in data]
+        for i in members.tolist():
+            if heads.setdefault(data[i][lo[i] : hi[i]], i) != i:
+                flags[i][lo[i] : hi[i] - WINDOW + 1] = 1
         with tempfile.TemporaryDirectory() as folder:
-            piece, offset, cls = equal_windows(data, folder)
+            piece, offset, cls = equal_windows(list(heads), folder)
+        piece = np.array(list(heads.values()), np.int64)[piece]
+        offset = offset + lo[piece]
         at = start[piece] + offset
         order = np.lexsort((at, h[piece], doc[piece], cls))
         later = np.concatenate([[False], cls[order][1:] == cls[order][:-1]]) if len(order) else np.zeros(0, bool)
-        flags = [np.zeros(len(d) - WINDOW + 1, np.uint8) for d in data]
         first = np.concatenate([[0], np.cumsum([len(f) for f in flags])])
-        flat = np.zeros(first[-1], np.uint8)
+        flat = np.concatenate(flags)
         hit = order[later]
         flat[first[piece[hit]] + offset[hit]] = 1
         bits = [np.packbits(flat[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]

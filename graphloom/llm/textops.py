@@ -13,7 +13,7 @@ LOWER = np.where((_B >= 65) & (_B <= 90), _B + 32, _B).astype(np.uint8)
 IS_WORD = ((_B >= 48) & (_B <= 57)) | ((_B >= 97) & (_B <= 122)) | ((_B >= 65) & (_B <= 90)) | (_B >= 128)
 _R = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(int(_R), -1, 1 << 64))
-BUFFER = 4 << 20
+BUFFER = 1 << 19
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -59,6 +59,11 @@ def buffers(texts: list[bytes], limit: int = BUFFER):
         yield at, len(texts)
 
 
+def rolling_hash(prefix: np.ndarray, n: int) -> np.ndarray:
+    """span_hash of every stretch of n bytes."""
+    return mix((prefix[n:] - prefix[:-n]) * _power(_INV, "i", len(prefix) - n) + np.uint64(n))
+
+
 class Words:
     """The words of some texts: start, end (in buf), text index, hash; ``first[i]:first[i + 1]`` are those of text i."""
 
