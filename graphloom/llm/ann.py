@@ -106,7 +106,8 @@ def _search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     a = index.join(sizes, key).withColumn("bi", F.pmod(F.col("k1"), F.col("ni")).cast("int")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
     b = queries.join(sizes.select(*key, F.col("ni").alias("mi"), F.col("nq").alias("mq")), key).withColumn("bq", F.pmod(F.col("k2"), F.col("mq")).cast("int")).withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("mi") - 1)))
     cell = [*key, "bi", "bq"]
-    a, b = (x.select(*cell, "k1", "k2", "first", "vec") for x in (a, b))
+    names = [*cell, "k1", "k2", "first", "vec"]
+    a, b = a.select(*names), b.select(*names).toDF(*names)  # aliased anew: both may come from one table
     return a.groupBy(*cell).cogroup(b.groupBy(*cell)).applyInPandas(_best(k), "k1 long, k2 long, c1 long, c2 long, first long, score double")
 
 
