@@ -22,21 +22,21 @@ from .textops import Words, as_bytes, buffers, mix, shingle_sets
 
 THRESHOLD, WORDS, SKETCH = 0.8, 5, 64
 #: Runs, for a recall above 0.9999 at the threshold: a run's first level keeps a pair with probability 0.63.
-RUNS, LAMBDA, LEVELS = 20, 0.8, 3
+RUNS, LAMBDA, LEVELS = 16, 0.8, 3
 #: A bucket of more classes is split again; sketch agreements that make a candidate (0.8 less over 4 deviations).
-BUCKET, AGREE = 128, 37
+BUCKET, AGREE = 8192, 37
 #: Classes in one block of an exact comparison, and in one bin of small components.
 BLOCK, BIN = 2048, 512
 _SEEDS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def sketch(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """[set, SKETCH] 16-bit min-wise values; set i is shingles[first[i]:first[i + 1]], none is empty."""
-    out = np.empty((len(first) - 1, SKETCH), np.uint16)
+    """[set, SKETCH] 32-bit min-wise values; set i is shingles[first[i]:first[i + 1]], none is empty."""
+    out = np.empty((len(first) - 1, SKETCH), np.uint32)
     for j, s in enumerate(_SEEDS):
         h = (shingles ^ s) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
-        out[:, j] = (np.minimum.reduceat(h * (_SEEDS[-1 - j] | np.uint64(1)), first[:-1]) >> np.uint64(40)).astype(np.uint16)
+        out[:, j] = (np.minimum.reduceat(h * (_SEEDS[-1 - j] | np.uint64(1)), first[:-1]) >> np.uint64(32)).astype(np.uint32)
     return out
 
 
@@ -54,19 +54,20 @@ def _class(s: np.ndarray) -> bytes:
 
 
 def _sketched(documents: DataFrame) -> DataFrame:
-    """(doc, cls, n, sig) of every row; cls is null where a text has no words."""
+    """(doc, cls, n, sig, low) of every row, low the sketch's low bytes; cls is null where a text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = _sets(batch)
             full = [s for s in sets if len(s)]
-            sigs = iter(sketch(np.concatenate(full), np.concatenate([[0], np.cumsum([len(s) for s in full])])) if full else [])
-            rows = [(_class(s), len(s), next(sigs).tobytes()) if len(s) else (None, 0, None) for s in sets]
-            cls, n, sig = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc", "cls", "n", "sig"])
+            sigs = sketch(np.concatenate(full), np.concatenate([[0], np.cumsum([len(s) for s in full])])) if full else np.zeros((0, SKETCH), np.uint32)
+            sigs = iter([(x.tobytes(), y.tobytes()) for x, y in zip(sigs, sigs.astype(np.uint8), strict=True)])
+            rows = [(_class(s), len(s), *next(sigs)) if len(s) else (None, 0, None, None) for s in sets]
+            cls, n, sig, low = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())], names=["doc", "cls", "n", "sig", "low"])
 
     small_batches(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(run, "doc long, cls binary, n long, sig binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(run, "doc long, cls binary, n long, sig binary, low binary")
 
 
 def _chosen(node: np.ndarray) -> np.ndarray:
@@ -83,7 +84,7 @@ def _split(rows: DataFrame, root: bool) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, SKETCH)
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, SKETCH)
             cls = np.array(batch.column("cls").to_pylist(), object)
             if root:
                 run_of, coord = np.nonzero(_chosen(roots))
@@ -93,7 +94,7 @@ def _split(rows: DataFrame, root: bool) -> DataFrame:
                 node = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 row, coord = np.nonzero(_chosen(node))
                 node = node[row]
-            key = mix(node * np.uint64(0x9E3779B97F4A7C15) ^ (coord.astype(np.uint64) << np.uint64(16)) ^ sig[row, coord].astype(np.uint64))
+            key = mix(node * np.uint64(0x9E3779B97F4A7C15) ^ (coord.astype(np.uint64) << np.uint64(32)) ^ sig[row, coord].astype(np.uint64))
             for lo in range(0, len(key), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + 50_000].view(np.int64)), pa.array(cls[row[lo : lo + 50_000]].tolist(), pa.binary())], names=["key", "cls"])
 
@@ -101,7 +102,7 @@ def _split(rows: DataFrame, root: bool) -> DataFrame:
 
 
 def _compare(rows: DataFrame) -> DataFrame:
-    """(a, b): links that connect what is similar, by sketch, in each bucket of (key, cls, sig).
+    """(a, b): links that connect what is similar, by sketch, in each bucket of (key, cls, low).
 
     Rows of a bucket are neighbours in a sorted partition; a batch compares rows 1, 2, ... apart, and leaves out links
     of what earlier ones connect.
@@ -122,7 +123,7 @@ def _compare(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in buckets(batches):
             keys = t.column("key").to_numpy()
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SKETCH)
+            sig = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(-1, SKETCH)
             label, left, right = np.arange(len(keys)), [], []
             for lag in range(1, len(keys)):
                 a = np.flatnonzero(keys[:-lag] == keys[lag:])
@@ -140,30 +141,64 @@ def _compare(rows: DataFrame) -> DataFrame:
                         parent = parent[parent]
                     label = parent[label]
             if left:
+                a, b = np.concatenate(left), np.concatenate(right)
+                label = np.arange(len(keys))
+                while True:  # whole components of the batch's links; links to their least class make stars, not chains
+                    new = label.copy()
+                    np.minimum.at(new, a, label[b])
+                    np.minimum.at(new, b, label[a])
+                    new = new[new]
+                    if (new == label).all():
+                        break
+                    label = new
+                a = np.flatnonzero(label != np.arange(len(keys)))
                 cls = t.column("cls")
-                a, b = cls.take(pa.array(np.concatenate(left))), cls.take(pa.array(np.concatenate(right)))
+                a, b = cls.take(pa.array(a)), cls.take(pa.array(label[a]))
                 yield pa.RecordBatch.from_arrays([pa.array(a.to_pylist(), pa.binary()), pa.array(b.to_pylist(), pa.binary())], names=["a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key").select("key", "cls", "sig").mapInArrow(run, "a binary, b binary").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "cls").select("key", "cls", "low").mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _to_pivot(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): classes of large buckets (key, cls) that are similar, by sketch, to their bucket's least class."""
+    pivots = large.groupBy("key").agg(F.min("cls").alias("b")).join(classes.select(F.col("cls").alias("b"), F.col("low").alias("low_b")), "b")
+    pairs = large.join(classes.select("cls", "low"), "cls").join(pivots, "key").filter("cls <> b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("low", "low_b"))
+            kept = batch.take(pa.array(np.flatnonzero((x == y).sum(1) >= AGREE)))
+            yield pa.RecordBatch.from_arrays([kept.column("cls"), kept.column("b")], names=["a", "b"])
+
+    return pairs.select("cls", "b", "low", "low_b").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def candidate_links(classes: DataFrame) -> DataFrame:
-    """(a, b) links whose components hold every pair the runs find; classes has (cls, sig)."""
-    out, rows = None, _split(classes.select("cls", "sig"), True)
+    """(a, b) links whose components hold every pair the runs find; classes has (cls, sig, low).
+
+    A large bucket all of one component holds no new link, so only mixed ones are split on.
+    """
+    links, rows = None, _split(classes.select("cls", "sig"), True)
     for level in range(LEVELS + 1):
         rows = stash(rows.distinct() if level else rows)
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        sized = stash(rows.join(sizes, "key"))
-        small = sized.filter(F.col("n") <= BUCKET).select("key", "cls").join(classes.select("cls", "sig"), "cls")
+        sized = stash(rows.join(sizes.hint("merge"), "key"))  # one plan at every size
+        small = sized.filter(F.col("n") <= BUCKET).select("key", "cls").join(classes.select("cls", "low"), "cls")
         found = _compare(small)
-        out = found if out is None else out.unionByName(found)
-        large = sized.filter(F.col("n") > BUCKET)
+        links = found if links is None else links.unionByName(found)
+        large = sized.filter(F.col("n") > BUCKET).select("key", "cls")
         if large.isEmpty():
-            return out
+            return links
+        links = stash(links.unionByName(_to_pivot(large, classes)).distinct())
+        known = large.join(components(links).withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+        large = stash(large.join(mixed, "key", "left_semi"))
+        if large.isEmpty():
+            return links
         if level == LEVELS:  # what still shares every sampled token is one candidate group, to be compared exactly
-            return out.unionByName(large.join(large.groupBy("key").agg(F.min("cls").alias("b")), "key").filter("cls <> b").select(F.col("cls").alias("a"), "b").distinct())
-        rows = _split(large.select("key", "cls").join(classes.select("cls", "sig"), "cls"), False)
-    return out
+            return links.unionByName(large.join(large.groupBy("key").agg(F.min("cls").alias("b")), "key").filter("cls <> b").select(F.col("cls").alias("a"), "b"))
+        rows = _split(large.join(classes.select("cls", "sig"), "cls").select("key", "cls", "sig"), False)
+    return links
 
 
 def similar(left: list[np.ndarray], right: list[np.ndarray], threshold: float, slab: int = 4096) -> np.ndarray:
@@ -205,7 +240,7 @@ def _verify(threshold: float):
                 groups.setdefault(c, []).append(i)
         out = []
         for g in groups.values():
-            g = np.array(g)
+            g = np.array(sorted(g, key=lambda i: cls[i]))
             a, b = g[side[g] == 0], g[side[g] == 1]
             if len(a) and len(b):
                 s = similar([sets[i] for i in a], [sets[i] for i in b], threshold)
@@ -257,7 +292,7 @@ def join(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     each other. A set's classes are named by 128 hash bits. Empty tables give none.
     """
     rows = stash(_sketched(documents))
-    reps = stash(rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.coalesce("doc", F.lit(0))).alias("doc"), F.count(F.lit(1)).alias("m"), F.min("sig").alias("sig")))
+    reps = stash(rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.coalesce("doc", F.lit(0))).alias("doc"), F.count(F.lit(1)).alias("m"), F.min("sig").alias("sig"), F.min("low").alias("low")))
     comps = components(stash(candidate_links(reps)))
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     members = reps.select("cls", "doc", "m").join(comps.withColumnRenamed("id", "cls"), "cls").join(sizes, "comp").select("comp", "cls", "doc", "m", "size")
