@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions.scalar import register_function
 from .operators import algorithms as alg
+from .plans.builder import QueryBuilder
 from .plans.parser import QueryError, parse
 from .plans.writes import Writer
 from .sources.graph import PropertyGraph
@@ -53,6 +54,9 @@ class GraphEngine:
                 self.cache.popitem(last=False)
         return self._run(self.cache[text], params)
 
+    def builder(self) -> QueryBuilder:
+        return QueryBuilder(self)
+
     def _run(self, stmt: dict, params: dict) -> DataFrame:
         kind = stmt["kind"]
         if kind == "query":

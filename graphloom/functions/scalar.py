@@ -37,6 +37,17 @@ def _to_boolean(x: Column) -> Column:
     return F.when(x.isNull(), F.lit(None).cast("boolean")).otherwise(~s.isin("false", "0", "0.0", ""))
 
 
+_DURATION = r"^P(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)W)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?$"
+
+
+def duration(s: Column) -> Column:
+    """A duration (months, days, nanos) from its ISO form; null of null, an error if malformed."""
+    n = [F.coalesce(F.regexp_extract(s, _DURATION, i).try_cast("long"), F.lit(0)) for i in range(1, 8)]
+    made = F.struct((n[0] * 12 + n[1]).alias("months"), (n[2] * 7 + n[3]).alias("days"), ((n[4] * 3600 + n[5] * 60 + n[6]) * 1_000_000_000).alias("nanos"))
+    bad = F.raise_error(F.concat(F.lit("not a duration: "), s)).cast("struct<months: bigint, days: bigint, nanos: bigint>")
+    return F.when(s.isNull(), F.lit(None)).when(F.rlike(s, F.lit(_DURATION)), made).otherwise(bad)
+
+
 def _guard(ok: Column, value: Column) -> Column:
     return F.when(ok, value)
 

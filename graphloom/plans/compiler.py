@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import AGGREGATES, FUNCTIONS
+from ..functions.scalar import AGGREGATES, FUNCTIONS, duration
 from ..sources.graph import PropertyGraph, load_csv
 from .parser import QueryError, children, names
 
@@ -518,8 +518,14 @@ class Compiler:
         ka, kb = self.kind(a, frame, local), self.kind(b, frame, local)
         if ka in ("date", "timestamp_ntz") and kb.startswith("struct"):
             return self.shift(a, ka, b, -1)
+        part = lambda m, d, n: F.struct(*(x.cast("long").alias(k) for k, x in (("months", m), ("days", d), ("nanos", n))))
         if ka == kb == "date":
-            return F.struct(F.lit(0).cast("long").alias("months"), F.datediff(a, b).cast("long").alias("days"), F.lit(0).cast("long").alias("nanos"))
+            return part(F.lit(0), F.datediff(a, b), F.lit(0))
+        if ka == kb == "timestamp_ntz":  # days and the rest share the difference's sign, in milliseconds
+            ms, day = F.timestamp_diff("MILLISECOND", b, a), F.lit(86_400_000)
+            return part(F.lit(0), (ms - ms % day) / day, ms % day * 1_000_000)
+        if ka == kb and ka.startswith("struct<months"):
+            return part(*(a[k] - b[k] for k in ("months", "days", "nanos")))
         return a - b
 
     def shift(self, x: Column, kind: str, d: Column, sign: int) -> Column:
@@ -639,11 +645,19 @@ class Compiler:
                 return F.size(c["rels"]).cast("long")
             return (F.size(c) if kind.startswith(("array", "map")) else F.length(c)).cast("long")
         if name == "duration":
-            parts = dict(args[0][1]) if args[0][0] == "map" else {}
-            if not parts:
-                raise QueryError("duration takes a map of components")
+            if len(args) != 1:
+                raise QueryError("duration takes one argument")
+            if args[0][0] != "map":
+                return duration(self.expr(args[0], frame, local).cast("string"))
+            parts = dict(args[0][1])
             n = lambda *ks: reduce(lambda a, b: a + b, (self.expr(parts[k], frame, local) * f for k, f in ks if k in parts), F.lit(0)).cast("long")
-            return F.struct(n(("years", 12), ("months", 1)).alias("months"), n(("weeks", 7), ("days", 1)).alias("days"), n(("hours", 3_600_000_000_000), ("minutes", 60_000_000_000), ("seconds", 1_000_000_000)).alias("nanos"))
+            return F.struct(n(("years", 12), ("months", 1)).alias("months"), n(("weeks", 7), ("days", 1)).alias("days"), n(("hours", 3_600_000_000_000), ("minutes", 60_000_000_000), ("seconds", 1_000_000_000), ("nanoseconds", 1)).alias("nanos"))
+        if name == "datetime" and args and args[0][0] == "map":
+            p = dict(args[0][1])
+            part = lambda k, d: self.expr(p.get(k, ("lit", d)), frame, local)
+            day = F.make_date(part("year", 1970), part("month", 1), part("day", 1))
+            ms = ((part("hour", 0) * 60 + part("minute", 0)) * 60 + part("second", 0)) * 1000 + part("millisecond", 0)
+            return F.timestamp_add("MILLISECOND", ms.cast("long"), day.cast("timestamp_ntz"))
         if name == "date" and args and args[0][0] == "map":
             p = dict(args[0][1])
             return F.make_date(*(self.expr(p.get(k, ("lit", 1)), frame, local) for k in ("year", "month", "day")))

@@ -66,6 +66,35 @@ def test_import(spark, tmp_path):
     assert rows(e, "LOAD CSV WITH HEADERS FROM $f AS row RETURN row.name AS n ORDER BY n", f="file://" + str(tmp_path / "n.csv")) == [("Ann",), ("Bo",)]
 
 
+def test_builder(spark):
+    e = GraphEngine(spark)
+    e.builder().create_("a", "P", props={"name": "it's", "age": 3}).create_("b", ["P", "Q"], props={"name": "Bo", "age": 4}).create_("r", "K", "a", "b", {"w": 2}).run()
+    assert [tuple(r) for r in e.builder().match_("n", "P").where_("n", "age", 2, ">").where_("n", "age", 9, "<").order_by_([("n", "age", False)]).skip_(1).limit_(1).return_(["n.name AS name"]).run().collect()] == [("it's",)]
+    hop = e.builder().match_("a", "P", "name", "it's").traverse_("a", "K", "b", "Q", "r").return_(["b.name AS b", "r.w AS w"])
+    assert [tuple(r) for r in hop.run().collect()] == [("Bo", 2)]
+    e.builder().match_("n", "Q").set_("n", "age", 5).set_label_("n", "R").remove_("n", "name").run()
+    assert rows(e, "MATCH (n:R) RETURN n.age AS a, n.name AS n") == [(5, None)]
+    e.builder().match_("n", "R").delete_(["n"], detach=True).run()
+    assert [tuple(r) for r in e.builder().match_("n", "P").return_(["count(n) AS c"]).run().collect()] == [(1,)]
+    assert [tuple(r) for r in e.builder().unwind([1, 2], "x").return_(["sum(x) AS s"]).run().collect()] == [(3,)]
+    e.builder().create_index_("P", "name", "ix").run()
+    assert e.builder().show_indexes_().run().count() == 1
+    e.builder().drop_index_("P", "name").run()
+    e.builder().call_("dbms.setConfig", ["k", "v"]).run()
+    assert e.config["k"] == "v" and e.indexes == {}
+    with pytest.raises(QueryError):
+        e.builder().match_("n`", "P")
+
+
+def test_durations(engine):
+    got = rows(engine, "RETURN duration('P1Y2M1W3DT4H5M6S') AS d, date('2024-01-31') + duration('P1M') AS roll, duration({days: 3}) - duration('P1D') AS less, "
+               "datetime({year: 2024, month: 3, day: 2, hour: 1}) - datetime('2024-03-01T00:00:00') AS gap, datetime('2024-03-01T00:00:00') - datetime({year: 2024, month: 3, day: 2, hour: 1}) AS back")[0]
+    assert tuple(got[0]) == (14, 10, (4 * 3600 + 5 * 60 + 6) * 10**9) and str(got[1]) == "2024-03-02" and tuple(got[2]) == (0, 2, 0)
+    assert tuple(got[3]) == (0, 1, 3600 * 10**9) and tuple(got[4]) == (0, -1, -3600 * 10**9)
+    with pytest.raises(Exception, match="not a duration"):
+        rows(engine, "UNWIND ['x'] AS s RETURN duration(s) AS d")
+
+
 @pytest.mark.parametrize("bad", ["MATCH (a RETURN a", "RETURN", "RETURN 1 AS a, 2 AS a ORDER"])
 def test_bad_syntax(bad):
     with pytest.raises(QueryError):
