@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, keyed_labels, stash
+from .common import crc_mod, keyed_labels
 
 #: Rows of each class that may be sampled for the fit (a bound, in expectation), and trees and depth of the ensemble.
 SAMPLE, TREES, DEPTH = 4000, 40, 3
@@ -159,7 +159,7 @@ def drop_rejected(documents: DataFrame, labels: DataFrame, threshold: float = TH
     cols = documents.columns
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "")
     packed = documents.select(F.struct(*cols).alias("_row"), "text", words.alias("_w"))
-    stats = packed.select("_row", *(c.cast("double").alias(k) for k, c in statistics().items()))
-    # Written before it is filtered: else the optimizer would copy the statistics into every rule of the predicate.
-    scored = stash(stats.select("_row", compile_rules(*model).alias("_score")))
+    # A generator of one row is a barrier: else the optimizer would copy the statistics into every rule of the predicate.
+    made = F.inline(F.array(F.struct(*(c.cast("double").alias(k) for k, c in statistics().items()))))
+    scored = packed.select("_row", made).select("_row", compile_rules(*model).alias("_score"))
     return scored.filter(F.col("_score") >= threshold).select("_row.*")
