@@ -321,10 +321,11 @@ def repeated(documents: DataFrame) -> DataFrame:
     """
     small_batches(documents.sparkSession)
     places = stash(_pieces(documents))
-    often = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
+    # Written, so that both sides of the join are plain exchanges, whose large partitions Spark splits: one anchor may have a third of the rows.
+    often = stash(places.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor"))
     places = stash(places.join(often, "anchor", "left_semi"))
     merged = stash(places.groupBy("anchor", "piece").agg(F.min(F.struct("doc", "h", "start", "n")).alias("f"), F.count(F.lit(1)).alias("c")).select("anchor", "piece", "f.*", "c"))
-    several = merged.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("anchor")
+    several = stash(merged.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("anchor"))
     judged = stash(_judged(_contents(documents, merged.join(several, "anchor", "left_semi").drop("c"))))
     kept = F.regexp_replace(F.hex("gone"), "0", "") != ""
     first = merged.join(judged.filter(kept), ["anchor", "piece"]).select("doc", "h", "start", "n", "gone")
