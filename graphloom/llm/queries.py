@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, decontam, jaccard, langid, mixing, quality, suffix, toxicity
+from . import ann, chat, decontam, jaccard, langid, mixing, quality, sentences, suffix, toxicity
 from .common import table
 
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_cross_polytope": lambda s, d: ann.report(table(s, d, "embeddings")),
         "op2_decontaminate": lambda s, d: decontam.report(table(s, d, "documents"), table(s, d, "benchmark")),
         "op3_cross_parsing": lambda s, d: langid.report(table(s, d, "documents")),
+        "op4_sentence_spans": lambda s, d: sentences.report(table(s, d, "documents")),
         "op5_rule_ensemble": lambda s, d: quality.report(table(s, d, "documents"), table(s, d, "labels")),
         "op6_suffix_dedup": lambda s, d: suffix.report(table(s, d, "documents")),
         "op7_chat_format": lambda s, d: chat.report(table(s, d, "conversations")),
