@@ -196,9 +196,9 @@ def _least(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, block: int = 32) -> np
 
 
 def _contents(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (anchor, piece, doc, h, start, n) with the pieces' bytes, each text read once."""
+    """wanted (anchor, piece, doc, h, start, n) with the pieces' bytes, each text read once, however often its row is repeated."""
     per = wanted.groupBy("doc", "h").agg(F.collect_list(F.struct("anchor", "piece", "start", "n")).alias("p"))
-    joined = documents.join(per.hint("shuffle_hash"), ["doc", "h"])
+    joined = documents.dropDuplicates(["doc", "h"]).join(per.hint("shuffle_hash"), ["doc", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
