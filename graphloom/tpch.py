@@ -107,6 +107,8 @@ READS: dict[str, tuple[str, str]] = {
     "null_logic": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WITH c, count(o) AS n, max(o.o_totalprice) AS hi WHERE hi IS NULL OR n > 15 RETURN c.c_custkey AS k, n, coalesce(hi, -1.0) AS hi",
         "SELECT c_custkey AS k, count(o_orderkey) AS n, coalesce(max(o_totalprice), -1.0::DOUBLE) AS hi FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY k HAVING max(o_totalprice) IS NULL OR count(o_orderkey) > 15"),
     "var_length": ("MATCH (c:Customer)-[:LIVES_IN|IN_REGION*1..2]->(x) WHERE c.c_custkey < 200 RETURN c.c_custkey AS k, count(*) AS reached", "SELECT c_custkey AS k, 2::BIGINT AS reached FROM customer WHERE c_custkey < 200"),
+    "var_length_all": ("MATCH (c:Customer)-[:LIVES_IN|IN_REGION*1..2]->(x) RETURN c.c_custkey AS k, count(*) AS reached",
+        "SELECT c_custkey AS k, count(n_nationkey) + count(r_regionkey) AS reached FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY k"),
     "named_path": ("MATCH p = (s:Supplier)-[:BASED_IN]->(n)-[:IN_REGION]->(r:Region) RETURN s.s_suppkey AS k, length(p) AS hops, r.r_name AS r",
         "SELECT s_suppkey AS k, 2::BIGINT AS hops, r_name AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
     "shortest_path": ("MATCH (a:Nation {n_nationkey: 0}), (b:Nation) WHERE b.n_nationkey <> 0 MATCH p = shortestPath((a)-[:IN_REGION*..4]-(b)) RETURN b.n_nationkey AS k, length(p) AS hops",
