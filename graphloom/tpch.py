@@ -145,6 +145,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["g_wcc"] = _on_graph("", "IN_REGION", "MATCH (n:Nation) CALL gds.wcc.stream('g') YIELD nodeId, componentId WITH n, nodeId, componentId WHERE id(n) = nodeId RETURN n.n_name AS nation, componentId AS c")
     out["g_closeness"] = _on_graph("Nation", "IN_REGION", "CALL gds.closeness.stream('g') YIELD nodeId, score RETURN nodeId, score")
     out["g_betweenness"] = _on_graph("", "IN_REGION", "CALL gds.betweenness.stream('g') YIELD nodeId, score WITH nodeId, score WHERE score > 0 RETURN nodeId, round(score, 6) AS score")
+    # Edges whose number follows the tables; label '' projects both of their ends.
+    out["g_closeness_based_in"] = _on_graph("", "BASED_IN", "CALL gds.closeness.stream('g') YIELD nodeId, score RETURN nodeId, round(score, 6) AS score")
+    out["g_betweenness_based_in"] = _on_graph("", "BASED_IN", "CALL gds.betweenness.stream('g') YIELD nodeId, score RETURN nodeId, round(score, 6) AS score")
+    out["g_wcc_placed"] = _on_graph("", "PLACED", "CALL gds.wcc.stream('g') YIELD nodeId, componentId RETURN nodeId, componentId AS c")
+    out["g_pagerank_placed"] = _on_graph("", "PLACED", "CALL gds.pageRank.stream('g') YIELD nodeId, score RETURN nodeId, score")
     src, dst = (2 << 40) + 0, (1 << 40)
     out["g_dijkstra"] = _on_graph("", "IN_REGION", f"CALL gds.shortestPath.dijkstra.stream('g', {src}, {dst}) YIELD nodeId, cost, totalCost RETURN nodeId, cost, totalCost")
     out["g_vector_topk"] = _vector
@@ -156,5 +161,10 @@ def oracle_sql() -> dict[str, str]:
     out["g_wcc"] = "SELECT n_name AS nation, n_regionkey + (1::BIGINT << 40) AS c FROM nation"
     out["g_closeness"] = "SELECT n_nationkey + 2 * (1::BIGINT << 40) AS nodeId, 0.0::DOUBLE AS score FROM nation"
     out["g_betweenness"] = "SELECT r_regionkey + (1::BIGINT << 40) AS nodeId, round(count(*) * (count(*) - 1) / 2.0::DOUBLE, 6) AS score FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey HAVING count(*) > 1"
+    ids = " UNION ALL ".join(f"SELECT {k} + {i + 1} * (1::BIGINT << 40) AS id FROM {t}" for i, (t, k) in enumerate(LABELS.values()))
+    star = "SELECT s_suppkey + 4 * (1::BIGINT << 40) AS id, count(*) OVER (PARTITION BY s_nationkey) AS k, false AS hub FROM supplier UNION ALL SELECT s_nationkey + 2 * (1::BIGINT << 40), count(*), true FROM supplier GROUP BY s_nationkey"
+    out["g_closeness_based_in"] = f"SELECT id AS nodeId, round(coalesce(CASE WHEN hub THEN 1.0::DOUBLE ELSE k / (2 * k - 1.0::DOUBLE) END, 0.0), 6) AS score FROM ({ids}) LEFT JOIN ({star}) USING (id)"
+    out["g_betweenness_based_in"] = f"SELECT id AS nodeId, round(coalesce(CASE WHEN hub THEN k * (k - 1) / 2.0::DOUBLE ELSE 0.0 END, 0.0), 6) AS score FROM ({ids}) LEFT JOIN ({star}) USING (id)"
+    out["g_wcc_placed"] = f"SELECT id AS nodeId, coalesce(c, id) AS c FROM ({ids}) LEFT JOIN (SELECT o_orderkey + 6 * (1::BIGINT << 40) AS id, o_custkey + 3 * (1::BIGINT << 40) AS c FROM orders) USING (id)"
     out["g_vector_topk"] = "SELECT vec_id, round(-list_inner_product(embedding::DOUBLE[], [CASE WHEN i % 2 = 0 THEN 1.0::DOUBLE ELSE -0.5 END FOR i IN range(64)]), 6) AS score FROM embeddings ORDER BY -list_inner_product(embedding::DOUBLE[], [CASE WHEN i % 2 = 0 THEN 1.0::DOUBLE ELSE -0.5 END FOR i IN range(64)]), vec_id LIMIT 10"
     return out

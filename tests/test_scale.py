@@ -16,3 +16,40 @@ def test_var_length_all(spark):
     want = {k: 1 + (region[n] is not None) for k, n in column("customer", "c_custkey", "c_nationkey") if n in region}
     got = {r.k: r.reached for r in tpch.queries()["g_var_length_all"](spark, DATA).collect()}
     assert got == want and len(got) == len(column("customer", "c_custkey"))
+
+
+def graph(table, src, dst):
+    """Undirected neighbours by (label's ordinal, key), over all nodes."""
+    near = {(i + 1, k): set() for i, (t, key) in enumerate(tpch.LABELS.values()) for (k,) in column(t, key)}
+    for a, b in column(table, src[1], dst[1]):
+        near[src[0], a].add((dst[0], b))
+        near[dst[0], b].add((src[0], a))
+    return {(o << 40) + k: {(p << 40) + x for p, x in v} for (o, k), v in near.items()}
+
+
+def depths(near, s):
+    seen, front = {s: 0}, [s]
+    while front:
+        nxt = []
+        for v in front:
+            for w in near[v] - seen.keys():
+                seen[w] = seen[v] + 1
+                nxt.append(w)
+        front = nxt
+    return seen
+
+
+def test_algorithms_on_growing_edges(spark):
+    run = lambda name, col: {r.nodeId: r[col] for r in tpch.queries()[name](spark, DATA).collect()}
+    near = graph("supplier", (4, "s_suppkey"), (2, "s_nationkey"))
+    reach = {v: depths(near, v) for v in near}
+    assert run("g_closeness_based_in", "score") == {v: round((len(d) - 1) / sum(d.values()), 6) if len(d) > 1 else 0.0 for v, d in reach.items()}
+    # Every path between two suppliers of a nation leads through the nation.
+    assert run("g_betweenness_based_in", "score") == {v: sum(1 for a in n for b in n if a < b) * 1.0 for v, n in near.items()}
+    near = graph("orders", (3, "o_custkey"), (6, "o_orderkey"))
+    assert run("g_wcc_placed", "c") == {v: min(depths(near, v)) for v in near}
+    # Customers have no in-edges and orders no out-edges, so ranks have a closed form.
+    base = 1 / (len(near) + 0.85 * sum(1 for v, n in near.items() if n and v >> 40 == 3))
+    got = run("g_pagerank_placed", "score")
+    want = {v: base * (1 + 0.85 * sum(1 / len(near[w]) for w in n if v >> 40 == 6)) for v, n in near.items()}
+    assert got.keys() == want.keys() and all(abs(got[v] - x) < 1e-7 for v, x in want.items())
