@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII word pattern of every operator that counts words; bytes from 0x80 up are word bytes.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -18,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def workdir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a folder of our own only where none is named."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Only a local master, which shares everything, gets a
+    temporary folder where none is named; on a cluster that raises."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         named = tempfile.mkdtemp(prefix="graphloom-")
         sc.setCheckpointDir(named)
     elif sc.getCheckpointDir() is None:
@@ -51,9 +55,26 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of very long texts fits in a Python worker."""
+    """Bound the rows and the bytes of an Arrow batch, so that a batch of very long texts fits in a Python worker.
+
+    Plans read these settings when they run, after the operator has returned, so they stay set in the session.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") == str(64 << 20):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+#: What a null doc_id is in comparisons: before every other.
+NO_ID = -(1 << 63)
+
+
+def doc_key(documents: DataFrame) -> Column:
+    """doc_id as a long, null as NO_ID. Ids are integers of any width; a column of another type is refused."""
+    kind = documents.schema["doc_id"].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"doc_id must be an integer column, not {kind.simpleString()}")
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
 
 
 def crc_mod(doc_id: str, n: int) -> Column:

@@ -112,3 +112,40 @@ def as_bytes(column) -> list[bytes]:
     import pyarrow as pa
 
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+class CodeMap:
+    """Code points through a function to short strings, worked out once for each code point that occurs."""
+
+    GONE, UNSEEN = 0, 0xFFFFFFFF
+
+    def __init__(self, of):
+        self.of, self.longer = of, []
+        self.table = np.full(0x110000, self.UNSEEN, np.uint32)
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        """The mapped code points of a UTF-8 text; ill-formed bytes count as U+FFFD."""
+        u = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+        s = self.table[u]
+        new = s == self.UNSEEN
+        if new.any():
+            for c in np.unique(u[new]).tolist():
+                to = self.of(chr(c))
+                if len(to) > 1:
+                    self.longer.append(np.array([ord(x) for x in to], np.uint32))
+                self.table[c] = self.GONE if not to else ord(to) if len(to) == 1 else 0x110000 + len(self.longer) - 1
+            s = self.table[u]
+        if len(self.longer) and (s >= 0x110000).any():
+            at = np.flatnonzero(s >= 0x110000)
+            parts, last = [], 0
+            for i in at.tolist():
+                parts += [s[last:i], self.longer[int(s[i]) - 0x110000]]
+                last = i + 1
+            s = np.concatenate([*parts, s[last:]])
+        return s[s != self.GONE]
+
+
+def single_spaces(s: np.ndarray) -> np.ndarray:
+    """Code points with runs of spaces as one."""
+    space = s == 32
+    return s[~(space & np.concatenate([[False], space[:-1]]))] if len(s) else s
