@@ -9,8 +9,9 @@ Template, one line per turn, nothing between turns::
 
 A control string is ``<`` or ``[``, then ``s>``, ``INST]``, ``SYS]`` or ``ROLE``, with or without ``/``. Escaping puts a
 backslash behind the opening character of every control string, and of every control string that has backslashes there
-already, so it is reversible and an escaped text holds no control string. A conversation is first rendered as it is and
-parsed again; only if the parse differs from the source are its texts escaped.
+already, so it is reversible and an escaped text holds no control string. The grammar allows none inside a text. A
+conversation is first rendered as it is and parsed again; if the parse isn't the source, its texts are escaped, which
+leaves texts without a control string as they are. What then still differs raises an error.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _NAME = r"/?(?:s>|INST\]|SYS\]|ROLE)"
+_CONTROL = rf"[<\[]{_NAME}"
 _ESC = rf"([<\[])(\\*)({_NAME})"
 _UNESC = rf"([<\[])\\(\\*)({_NAME})"
 #: One turn, by its own closing mark; the first closing mark ends it.
@@ -34,12 +36,16 @@ def _unescape(c: Column) -> Column:
 
 
 def _name_out(c: Column) -> Column:
-    """Other roles' names: % and ] are written %25 and %5D, so that the name ends where it should."""
-    return F.replace(F.replace(c, F.lit("%"), F.lit("%25")), F.lit("]"), F.lit("%5D"))
+    """Other roles' names: each of %, ], [ and < is written as % and its code, so that the name ends where it should."""
+    for x in "%][<":
+        c = F.replace(c, F.lit(x), F.lit(f"%{ord(x):02X}"))
+    return c
 
 
 def _name_in(c: Column) -> Column:
-    return F.replace(F.replace(c, F.lit("%5D"), F.lit("]")), F.lit("%25"), F.lit("%"))
+    for x in "<[]%":
+        c = F.replace(c, F.lit(f"%{ord(x):02X}"), F.lit(x))
+    return c
 
 
 def _render(turn: Column, text: Column) -> Column:
@@ -67,13 +73,16 @@ def _read_turn(s: Column) -> Column:
         F.when(s.startswith("[INST] "), F.lit("user")).when(s.startswith("<s> "), F.lit("assistant"))
         .when(s.startswith("[SYS] "), F.lit("system")).otherwise(_name_in(F.substring(s, F.lit(7), other - 8)))
     )
-    return F.struct(role.alias("role"), _unescape(text).alias("text"))
+    return F.struct(role.alias("role"), _unescape(text).alias("text"), F.rlike(text, F.lit(_CONTROL)).alias("bare"))
 
 
 def parse(formatted: Column) -> Column:
-    """array<struct<role, text>> of a formatted conversation; null if it isn't a sequence of turns."""
+    """array<struct<role, text>> of a formatted conversation; null if it isn't a sequence of turns, or a text holds a
+    control string."""
     turns = F.regexp_extract_all(formatted, F.lit(_TURN), F.lit(0))
-    return F.when(F.array_join(turns, "") == formatted, F.transform(turns, _read_turn))
+    read = F.transform(F.array(F.transform(turns, _read_turn)), lambda r: F.when(
+        ~F.exists(r, lambda t: t["bare"]), F.transform(r, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))))
+    return F.when(F.array_join(turns, "") == formatted, read[0])
 
 
 def loss_spans(formatted: Column) -> Column:
@@ -91,7 +100,7 @@ def loss_spans(formatted: Column) -> Column:
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """One row per conv_id: formatted, escaped, round_trip (always true), turns (read back from formatted).
+    """One row per conv_id: formatted, escaped, round_trip (always true: else an error), turns (read back from formatted).
 
     Turns go in the order (turn, role, text), nulls first, so ties and repeated rows have one order and all are kept.
     Null text counts as empty, null role as the role ''; rows of a null conv_id are one conversation. An empty table
@@ -109,6 +118,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     return (
         out.withColumn("turns", parse(F.col("formatted")))
         .withColumn("round_trip", F.coalesce(F.col("turns") == F.col("src"), F.lit(False)))
+        .withColumn("formatted", F.when(F.col("round_trip"), F.col("formatted")).otherwise(F.raise_error(F.concat(F.lit("no round trip: conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))))
         .select("conv_id", "formatted", "escaped", "round_trip", "turns")
     )
 
@@ -134,7 +144,7 @@ SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 t AS (SELECT *, len(regexp_extract_all(text, '[<\[]\\*/?(?:s>|INST\]|SYS\]|ROLE)')) AS marks,
-  CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 WHEN 'system' THEN 13 ELSE 16 + length(role) END AS frame FROM c)
+  CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 WHEN 'system' THEN 13 ELSE 16 + length(role) + 2 * len(regexp_extract_all(role, '[%<\[\]]')) END AS frame FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
