@@ -1,13 +1,14 @@
 """Language ID by cross-parsing entropy.
 
 A text is cut, language by language, into the longest phrases that occur in that language's training text, found by
-walking a suffix automaton. The language needing the fewest phrases for a symbol wins.
+walking a suffix automaton; a symbol that doesn't occur there is a phrase. The language needing the fewest phrases wins.
+Texts are walked in segments side by side; where a segment starts inside a phrase, its first symbols are walked again
+from there until both walks meet, so the phrases are those of the whole text.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,39 +17,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, small_batches
-from .textops import as_bytes
+from .textops import CodeMap, as_bytes, single_spaces
 
-#: Symbols of training text for each language, and rows it is drawn from; bounds of the sample.
+#: Symbols of training text for each language, and rows it is drawn from: bounds of the labelled sample, whose last text
+#: is cut where the symbols are reached.
 TRAIN_SYMBOLS, TRAIN_ROWS = 40_000, 64
 SEGMENT = 256
 _SPACE = np.uint32(32)
-_fold: np.ndarray | None = None
 _models: dict[int, tuple] = {}
 
 
-def fold_table() -> np.ndarray:
-    """Code point -> lower-case letter, or a space for what isn't a letter; letters past the table stay."""
-    global _fold
-    if _fold is None:
-        t = np.full(1 << 16, 32, np.uint32)
-        for c in range(1 << 16):
-            if not 0xD800 <= c < 0xE000 and (x := chr(c)).isalpha():
-                low = x.lower()
-                t[c] = ord(low) if len(low) == 1 else c
-        _fold = t
-    return _fold
+def fold_char(c: str) -> str:
+    """A letter in lower case, whatever plane it is in; a space for any other character."""
+    return (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " "
+
+
+_fold = CodeMap(fold_char)
 
 
 def letters(text: bytes) -> np.ndarray:
     """Lower-case code points of a text, runs of other characters as one space."""
-    u = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
-    s = np.where(u < 1 << 16, fold_table()[np.minimum(u, (1 << 16) - 1)], u)
-    sp = s == _SPACE
-    return s[~(sp & np.concatenate([[True], sp[:-1]]))] if len(s) else s
+    s = single_spaces(_fold(text))
+    return s[1:] if len(s) and s[0] == _SPACE else s
 
 
-def suffix_automaton(symbols: np.ndarray, width: int) -> np.ndarray:
-    """Transitions [state, symbol] of the automaton of all substrings, -1 where there is none; state 0 is the root."""
+def suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of each state of the automaton of all substrings; state 0 is the root."""
     nxt, link, length, last = [{}], [-1], [0], 0
     for c in symbols.tolist():
         cur = len(nxt)
@@ -73,11 +67,51 @@ def suffix_automaton(symbols: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    out = np.full((len(nxt), width), -1, np.int32)
-    for s, d in enumerate(nxt):
-        if d:
-            out[s, list(d)] = list(d.values())
-    return out
+    return nxt
+
+
+class Automaton:
+    """Sparse transitions: state s goes on symbol c to target[base[s] + c], if owner[base[s] + c] is s.
+
+    Symbols are 1..width; 0 is a symbol that no text taught. The last state has no way on; a walk is there at
+    a text's start, and after a symbol that the root doesn't know.
+    """
+
+    def __init__(self, symbols: np.ndarray, width: int):
+        states = suffix_automaton(symbols)
+        self.dead = len(states)
+        base = np.zeros(len(states) + 1, np.int32)
+        room = sum(map(len, states)) * 2 + 2 * width + 4
+        taken, owner, target = bytearray(room), np.full(room, -1, np.int32), np.zeros(room, np.int32)
+        free = width + 1  # slots before it, from width + 1 on, are taken
+        for s in sorted(range(len(states)), key=lambda s: -len(states[s])):
+            if not states[s]:
+                continue
+            want = sorted(states[s])
+            at = free
+            while any(taken[at - want[0] + c] for c in want):
+                at += 1
+            base[s] = at - want[0]
+            for c in want:
+                slot = base[s] + c
+                taken[slot] = 1
+                owner[slot], target[slot] = s, states[s][c]
+            while taken[free]:
+                free += 1
+            if room - free < 2 * width + 4:
+                taken += bytes(room)
+                owner, target = np.concatenate([owner, np.full(room, -1, np.int32)]), np.concatenate([target, np.zeros(room, np.int32)])
+                room = len(taken)
+        self.base, self.owner, self.target = base, owner, target
+        self.root = np.full(width + 1, self.dead, np.int32)
+        for c, to in states[0].items():
+            self.root[c] = to
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state, whether a phrase ended before c)."""
+        slot = self.base[state] + c
+        lost = self.owner[slot] != state
+        return np.where(lost, self.root[c], self.target[slot]), lost
 
 
 def fit(documents: DataFrame, keep: Column | None = None, train_symbols: int = TRAIN_SYMBOLS, train_rows: int = TRAIN_ROWS) -> list[tuple[str, str]]:
@@ -101,46 +135,56 @@ def fit(documents: DataFrame, keep: Column | None = None, train_symbols: int = T
 
 
 def _model(trained: list[tuple[str, str]]) -> tuple:
-    """Automata and the symbol table, built once in a Python worker."""
+    """(code of each code point, automata), built once in a Python worker. Every trained character has a code."""
     key = zlib.crc32(repr(trained).encode())
     if key not in _models:
         _models.clear()
-        count = Counter("".join(t for _, t in trained))
-        alphabet = [c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:500]]
-        code = np.zeros(1 << 16, np.int32)
-        for i, c in enumerate(alphabet):
-            if ord(c) < 1 << 16:
-                code[ord(c)] = i + 1
-        width = len(alphabet) + 1
-        autos = [suffix_automaton(code[np.frombuffer(t.encode("utf-32-le"), np.uint32) & 0xFFFF], width) for _, t in trained]
-        _models[key] = code, width, [(a.ravel(), np.maximum(a[0], 0)) for a in autos]
+        alphabet = sorted(set("".join(t for _, t in trained)))
+        code = np.zeros(0x110000, np.int32)
+        code[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+        _models[key] = code, [Automaton(code[np.frombuffer(t.encode("utf-32-le"), np.uint32)], len(alphabet)) for _, t in trained]
     return _models[key]
 
 
 def count_phrases(texts: list[np.ndarray], trained: list[tuple[str, str]]) -> np.ndarray:
-    """[text, language]: phrases a text is cut into. A phrase ends at its text's end, and every SEGMENT symbols."""
-    code, width, autos = _model(trained)
-    sizes = np.array([-(-len(t) // SEGMENT) for t in texts])
+    """[text, language]: phrases a text is cut into."""
+    code, autos = _model(trained)
+    sizes = np.array([-(-len(t) // SEGMENT) for t in texts], np.int64)
     total = int(sizes.sum())
     out = np.zeros((len(texts), len(autos)))
     if not total:
         return out
     flat, valid = np.zeros(total * SEGMENT, np.int32), np.zeros(total * SEGMENT, bool)
-    at = 0
-    for t, k in zip(texts, sizes, strict=True):
-        flat[at : at + len(t)] = np.where(t < 1 << 16, code[np.minimum(t, 0xFFFF)], 0)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    for t, at in zip(texts, first * SEGMENT, strict=False):
+        flat[at : at + len(t)] = code[t]
         valid[at : at + len(t)] = True
-        at += k * SEGMENT
     sym, ok = np.ascontiguousarray(flat.reshape(total, SEGMENT).T), np.ascontiguousarray(valid.reshape(total, SEGMENT).T)
     owner = np.repeat(np.arange(len(texts)), sizes)
-    for j, (table, root) in enumerate(autos):
-        state, n = np.zeros(total, np.int32), np.ones(total, np.int32)
-        for c, v in zip(sym, ok, strict=True):
-            to = table[state * np.int32(width) + c]
-            lost = to < 0
-            n += lost & v
-            state = np.where(lost, root[c], to)
-        out[:, j] = np.bincount(owner, n, len(texts))
+    later = np.ones(total, bool)
+    later[first[:-1][sizes > 0]] = False
+    for j, a in enumerate(autos):
+        walk, ends = np.empty((SEGMENT, total), np.int32), np.empty((SEGMENT, total), bool)
+        state = np.full(total, a.dead, np.int32)
+        for i in range(SEGMENT):
+            state, lost = a.step(state, sym[i])
+            walk[i], ends[i] = state, lost & ok[i]
+        # A later segment goes on from its predecessor's last state, until it is where it would be anyway.
+        todo, end = np.flatnonzero(later), state.copy()
+        while len(todo):
+            col, now = todo, end[todo - 1]
+            for i in range(SEGMENT):
+                now, lost = a.step(now, sym[i, col])
+                same = walk[i, col] == now
+                walk[i, col], ends[i, col] = now, lost & ok[i, col]
+                if same.any():
+                    col, now = col[~same], now[~same]
+                if not len(col):
+                    break
+            end[col] = now  # those that never met their old walk: what follows them starts elsewhere
+            todo = col[col + 1 < total] + 1
+            todo = todo[later[todo]]
+        out[:, j] = np.bincount(owner, ends.sum(0), len(texts))
     return out
 
 
