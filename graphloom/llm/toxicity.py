@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,35 +13,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, keyed_labels, small_batches
-from .langid import fold_table
 from .quality import lasso_logistic
-from .textops import as_bytes
+from .textops import CodeMap, as_bytes, single_spaces
 
-#: Labelled rows of each class that may be sampled, and entries the lexicon may have (bounds).
-SAMPLE, ENTRIES = 3000, 4000
+#: Labelled rows of each class that may be sampled: a bound, and so one for the lexicon and the phrases, which are theirs.
+SAMPLE = 3000
 STEMS = (4, 5, 6)
 THRESHOLD = 0.5
-#: Look-alikes of Latin letters, and digits and signs written for letters.
-FOLD = dict(zip("аеорсухіјѕԁһԛԝαεοριυκντ", "aeopcyxijsdhqwaeopiukvt", strict=True)) | dict(zip("013457@$", "oieastas", strict=True))
-_table: np.ndarray | None = None
+#: Look-alikes of Latin letters in other scripts (what is Latin by name follows from the name), and digits and signs
+#: written for letters.
+LOOKS = {
+    "а": "a", "в": "b", "г": "r", "е": "e", "з": "e", "к": "k", "м": "m", "н": "h", "о": "o", "п": "n", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ь": "b",
+    "ѕ": "s", "і": "i", "ј": "j", "ѡ": "w", "ѵ": "v", "ү": "y", "ԁ": "d", "һ": "h", "ӏ": "l", "ԛ": "q", "ԝ": "w", "ԍ": "g", "ꙅ": "s",
+    "α": "a", "β": "b", "γ": "y", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ϲ": "c", "ϳ": "j",
+    "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ռ": "n", "գ": "q", "զ": "q", "ց": "g", "յ": "j", "ա": "w", "տ": "s", "ք": "p",
+    "ɑ": "a", "ɡ": "g", "ı": "i", "ȷ": "j", "ɩ": "i", "ʋ": "v", "ɯ": "w", "ɾ": "r", "ʟ": "l", "ƽ": "s", "ſ": "s", "ʀ": "r",
+}
+SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "¢": "c", "€": "e", "£": "l"}
+_LATIN = re.compile(r"(?:LATIN (?:SMALL|CAPITAL) LETTER|LATIN LETTER SMALL CAPITAL|REGIONAL INDICATOR SYMBOL LETTER|(?:NEGATIVE )?(?:CIRCLED|SQUARED) LATIN CAPITAL LETTER) ([A-Z])(?: WITH .*)?")
 _automata: dict[str, object] = {}
 
 
+def fold_char(c: str) -> str:
+    """A character as the letters it is or stands for, lower-case and without marks; '' for a mark, else a space."""
+    if c in SIGNS:
+        return SIGNS[c]
+    out = ""
+    for x in unicodedata.normalize("NFKD", c):
+        if unicodedata.category(x) in ("Mn", "Me", "Cf"):
+            continue
+        x = x.lower()
+        named = _LATIN.fullmatch(unicodedata.name(x, "")) if len(x) == 1 and not x.isascii() else None
+        for y in named[1].lower() if named else x:
+            if unicodedata.category(y) not in ("Mn", "Me"):
+                out += LOOKS.get(y, y) if y.isalpha() else SIGNS.get(y, " ")
+    return out
+
+
+_fold = CodeMap(fold_char)
+
+
 def fold(text: bytes) -> str:
-    """Lower-case, look-alikes and digit substitutions as the letters they stand for, the rest as single spaces."""
-    global _table
-    if _table is None:
-        _table = fold_table().copy()
-        for k, v in FOLD.items():
-            _table[ord(k)] = ord(v)
-            if len(k.upper()) == 1:
-                _table[ord(k.upper())] = ord(v)
-    u = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
-    s = np.where(u < 1 << 16, _table[np.minimum(u, (1 << 16) - 1)], u)
-    sp = s == 32
-    if len(s):
-        s = s[~(sp & np.concatenate([[True], sp[:-1]]))]
-    return " " + s.astype(np.uint32).tobytes().decode("utf-32-le").strip() + " "
+    """Lower-case, look-alikes and digit substitutions as the letters they stand for, the rest as single spaces.
+
+    Compatibility forms count as what they stand for, accents and invisible characters go, and three or more single
+    letters in a row are one word.
+    """
+    s = single_spaces(np.concatenate([[np.uint32(32)], _fold(text), [np.uint32(32)]]).astype(np.uint32))
+    between = np.zeros(len(s), bool)
+    if len(s) > 4:
+        between[2:-2] = (s[2:-2] == 32) & (s[:-4] == 32) & (s[4:] == 32)
+        beside = np.zeros(len(s), bool)
+        beside[2:] |= between[:-2]
+        beside[:-2] |= between[2:]
+        s = s[~(between & beside)]
+    return s.tobytes().decode("utf-32-le") if len(s) > 1 else "  "
 
 
 def _tokens(text: bytes) -> set[str]:
@@ -48,11 +76,11 @@ def _tokens(text: bytes) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in STEMS if len(w) > n}
 
 
-def learn_lexicon(sample: DataFrame, sizes: dict[int, int], entries: int = ENTRIES) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, sizes: dict[int, int]) -> dict[str, float]:
     """Entry -> weight from sampled (text, y): words and stems at least 8 times as frequent in toxic texts.
 
-    Document frequencies are counted on the executors; the frequent, telling entries come to the driver, at most
-    ``entries`` of them by weight.
+    Document frequencies are counted on the executors; all frequent, telling entries come to the driver. An entry is in
+    a hundredth of the sampled toxic texts, so there are at most a hundred times the entries of one such text.
     """
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
@@ -68,7 +96,7 @@ def learn_lexicon(sample: DataFrame, sizes: dict[int, int], entries: int = ENTRI
     small_batches(sample.sparkSession)
     counted = sample.select("text", "y").mapInArrow(run, "entry string, y int").groupBy("entry").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     weight = F.ln((F.col("a") + 0.5) / (bad + 1.0)) - F.ln((F.col("b") + 0.5) / (good + 1.0))
-    kept = counted.filter(F.col("a") >= least).withColumn("w", weight).filter(F.col("w") > math.log(8)).orderBy(F.desc("w"), "entry").limit(entries)
+    kept = counted.filter(F.col("a") >= least).withColumn("w", weight).filter(F.col("w") > math.log(8))
     return {r["entry"]: float(r["w"]) for r in kept.collect()}
 
 
@@ -100,7 +128,15 @@ def matched(text: str, automaton) -> float:
                 free.append((start, end))
             else:
                 at[start] = max(w, at.get(start, 0.0))
-    return sum(w for p, w in at.items() if not any(a <= p < b for a, b in free))
+    total, k, reach = 0.0, 0, -1
+    free.sort()
+    for p in sorted(at):  # the spans that start up to p reach as far as the furthest of them
+        while k < len(free) and free[k][0] <= p:
+            reach = max(reach, free[k][1])
+            k += 1
+        if p >= reach:
+            total += at[p]
+    return total
 
 
 def hits(docs: DataFrame, lexicon: dict[str, float], exceptions: frozenset[str], keep: list[str]) -> DataFrame:
@@ -157,7 +193,7 @@ def _learn_exceptions(known: DataFrame, lexicon: dict[str, float]) -> frozenset[
                 yield pa.RecordBatch.from_arrays([pa.array(got, pa.string()), pa.array([int(y > 0)] * len(got), pa.int32())], names=["phrase", "y"])
 
     counted = known.select("text", "y").mapInArrow(run, "phrase string, y int").groupBy("phrase").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
-    return frozenset(r["phrase"] for r in counted.filter("a = 0 AND n >= 2").orderBy(F.desc("n"), "phrase").limit(ENTRIES).collect())
+    return frozenset(r["phrase"] for r in counted.filter("a = 0 AND n >= 2").collect())
 
 
 def score(documents: DataFrame, model: dict, keep: list[str]) -> DataFrame:
