@@ -1,14 +1,16 @@
 """N-gram Jaccard join by the chosen-path method.
 
 Sets are the distinct shingles of five words. Equal sets are one class. Classes are split recursively on sampled
-coordinates of a min-wise sketch - each is a shared token of similar sets - until buckets are small; a run keeps a pair
-of similarity s at a level with expected s / LAMBDA >= 1 shared children, and runs repeat until the target recall.
+coordinates of a min-wise sketch - each is a shared token of similar sets - until buckets are small; at every level a
+pair of the threshold's similarity shares one child in expectation, and runs repeat until the target recall, counted
+for pairs whose buckets are split at every level.
 Small buckets are compared by brute force on sketches, which yields candidate components; inside those every pair is
 compared exactly, on whole sets, in blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,20 +18,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash
+from .common import NO_ID, doc_key, small_batches, stash
 from .components import components
 from .textops import Words, as_bytes, buffers, mix, shingle_sets
 
-THRESHOLD, WORDS, SKETCH = 0.8, 5, 64
-#: Runs, for a recall above 0.9999 at the threshold: a run's first level keeps a pair with probability 0.63.
-RUNS, LAMBDA, LEVELS = 16, 0.8, 3
-#: A bucket of more classes is split again; sketch agreements that make a candidate (0.8 less over 4 deviations).
-BUCKET, AGREE = 8192, 37
+THRESHOLD, RECALL, WORDS, SKETCH = 0.8, 0.9999, 5, 64
+#: A bucket of more classes is split again, up to so many times.
+BUCKET, LEVELS = 8192, 3
 #: Classes in one block of an exact comparison, and in one bin of small components.
 BLOCK, BIN = 2048, 512
 _SEEDS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def runs_for(recall: float) -> int:
+    """Runs that find a pair at the threshold with probability ``recall``, even if all its buckets are split LEVELS times.
+
+    A coordinate is sampled with probability 1 / (threshold * SKETCH) and agrees with that of the threshold, so each of
+    the SKETCH coordinates gives the pair a common child with probability 1 / SKETCH at every level.
+    """
+    kept = 1.0
+    for _ in range(LEVELS + 1):
+        kept = 1 - (1 - kept / SKETCH) ** SKETCH
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - kept)))
+
+
+def agreements(threshold: float) -> int:
+    """Agreeing coordinates that make a candidate: the threshold's mean less 4.4 deviations, missed by one pair in 10^5."""
+    return max(2, math.floor(threshold * SKETCH - 4.4 * math.sqrt(SKETCH * threshold * (1 - threshold))))
+
+
 def sketch(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
     """[set, SKETCH] 32-bit min-wise values; set i is shingles[first[i]:first[i + 1]], none is empty."""
     out = np.empty((len(first) - 1, SKETCH), np.uint32)
@@ -54,7 +71,7 @@ def _class(s: np.ndarray) -> bytes:
 
 
 def _sketched(documents: DataFrame) -> DataFrame:
-    """(doc, cls, n, sig, low) of every row, low the sketch's low bytes; cls is null where a text has no words."""
+    """(doc, h, cls, n, sig, low) of every row, low the sketch's low bytes; cls is null where a text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,35 +81,39 @@ def _sketched(documents: DataFrame) -> DataFrame:
             sigs = iter([(x.tobytes(), y.tobytes()) for x, y in zip(sigs, sigs.astype(np.uint8), strict=True)])
             rows = [(_class(s), len(s), *next(sigs)) if len(s) else (None, 0, None, None) for s in sets]
             cls, n, sig, low = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())], names=["doc", "cls", "n", "sig", "low"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("h"), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())], names=["doc", "h", "cls", "n", "sig", "low"])
 
     small_batches(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(run, "doc long, cls binary, n long, sig binary, low binary")
+    return _keyed(documents).mapInArrow(run, "doc long, h long, cls binary, n long, sig binary, low binary")
 
 
-def _chosen(node: np.ndarray) -> np.ndarray:
-    """[node, coordinate]: whether a node samples the coordinate, with probability 1 / (LAMBDA * SKETCH)."""
+def _keyed(documents: DataFrame) -> DataFrame:
+    return documents.select(doc_key(documents).alias("doc"), F.xxhash64("text").alias("h"), "text")
+
+
+def _chosen(node: np.ndarray, threshold: float) -> np.ndarray:
+    """[node, coordinate]: whether a node samples the coordinate, with probability 1 / (threshold * SKETCH)."""
     h = mix(node[:, None] ^ _SEEDS[None, :])
-    return (h >> np.uint64(11)).astype(np.float64) / float(1 << 53) < 1.0 / (LAMBDA * SKETCH)
+    return (h >> np.uint64(11)).astype(np.float64) / float(1 << 53) < 1.0 / (threshold * SKETCH)
 
 
-def _split(rows: DataFrame, root: bool) -> DataFrame:
+def _split(rows: DataFrame, root: bool, threshold: float, runs: int) -> DataFrame:
     """(key, cls): the children that classes take from a node, or from the roots of all runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roots = mix(np.arange(1, RUNS + 1, dtype=np.uint64))
+        roots = mix(np.arange(1, runs + 1, dtype=np.uint64))
         for batch in batches:
             if not batch.num_rows:
                 continue
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, SKETCH)
             cls = np.array(batch.column("cls").to_pylist(), object)
             if root:
-                run_of, coord = np.nonzero(_chosen(roots))
+                run_of, coord = np.nonzero(_chosen(roots, threshold))
                 row = np.repeat(np.arange(len(sig)), len(coord))
                 node, coord = np.tile(roots[run_of], len(sig)), np.tile(coord, len(sig))
             else:
                 node = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                row, coord = np.nonzero(_chosen(node))
+                row, coord = np.nonzero(_chosen(node, threshold))
                 node = node[row]
             key = mix(node * np.uint64(0x9E3779B97F4A7C15) ^ (coord.astype(np.uint64) << np.uint64(32)) ^ sig[row, coord].astype(np.uint64))
             for lo in range(0, len(key), 50_000):
@@ -101,7 +122,7 @@ def _split(rows: DataFrame, root: bool) -> DataFrame:
     return rows.mapInArrow(run, "key long, cls binary")
 
 
-def _compare(rows: DataFrame) -> DataFrame:
+def _compare(rows: DataFrame, agree: int) -> DataFrame:
     """(a, b): links that connect what is similar, by sketch, in each bucket of (key, cls, low).
 
     Rows of a bucket are neighbours in a sorted partition; a batch compares rows 1, 2, ... apart, and leaves out links
@@ -130,7 +151,7 @@ def _compare(rows: DataFrame) -> DataFrame:
                 if not len(a):
                     break
                 a = a[label[a] != label[a + lag]]
-                a = a[(sig[a] == sig[a + lag]).sum(1) >= AGREE]
+                a = a[(sig[a] == sig[a + lag]).sum(1) >= agree]
                 if len(a):
                     left.append(a)
                     right.append(a + lag)
@@ -159,7 +180,7 @@ def _compare(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "cls").select("key", "cls", "low").mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _to_pivot(large: DataFrame, classes: DataFrame) -> DataFrame:
+def _to_pivot(large: DataFrame, classes: DataFrame, agree: int) -> DataFrame:
     """(a, b): classes of large buckets (key, cls) that are similar, by sketch, to their bucket's least class."""
     pivots = large.groupBy("key").agg(F.min("cls").alias("b")).join(classes.select(F.col("cls").alias("b"), F.col("low").alias("low_b")), "b")
     pairs = large.join(classes.select("cls", "low"), "cls").join(pivots, "key").filter("cls <> b")
@@ -167,29 +188,30 @@ def _to_pivot(large: DataFrame, classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("low", "low_b"))
-            kept = batch.take(pa.array(np.flatnonzero((x == y).sum(1) >= AGREE)))
+            kept = batch.take(pa.array(np.flatnonzero((x == y).sum(1) >= agree)))
             yield pa.RecordBatch.from_arrays([kept.column("cls"), kept.column("b")], names=["a", "b"])
 
     return pairs.select("cls", "b", "low", "low_b").mapInArrow(run, "a binary, b binary").distinct()
 
 
-def candidate_links(classes: DataFrame) -> DataFrame:
+def candidate_links(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(a, b) links whose components hold every pair the runs find; classes has (cls, sig, low).
 
     A large bucket all of one component holds no new link, so only mixed ones are split on.
     """
-    links, rows = None, _split(classes.select("cls", "sig"), True)
+    runs, agree = runs_for(recall), agreements(threshold)
+    links, rows = None, _split(classes.select("cls", "sig"), True, threshold, runs)
     for level in range(LEVELS + 1):
         rows = stash(rows.distinct() if level else rows)
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         sized = stash(rows.join(sizes.hint("merge"), "key"))  # one plan at every size
         small = sized.filter(F.col("n") <= BUCKET).select("key", "cls").join(classes.select("cls", "low"), "cls")
-        found = _compare(small)
+        found = _compare(small, agree)
         links = found if links is None else links.unionByName(found)
         large = sized.filter(F.col("n") > BUCKET).select("key", "cls")
         if large.isEmpty():
             return links
-        links = stash(links.unionByName(_to_pivot(large, classes)).distinct())
+        links = stash(links.unionByName(_to_pivot(large, classes, agree)).distinct())
         known = large.join(components(links).withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
         large = stash(large.join(mixed, "key", "left_semi"))
@@ -197,7 +219,7 @@ def candidate_links(classes: DataFrame) -> DataFrame:
             return links
         if level == LEVELS:  # what still shares every sampled token is one candidate group, to be compared exactly
             return links.unionByName(large.join(large.groupBy("key").agg(F.min("cls").alias("b")), "key").filter("cls <> b").select(F.col("cls").alias("a"), "b"))
-        rows = _split(large.join(classes.select("cls", "sig"), "cls").select("key", "cls", "sig"), False)
+        rows = _split(large.join(classes.select("cls", "sig"), "cls").select("key", "cls", "sig"), False, threshold, runs)
     return links
 
 
@@ -268,7 +290,7 @@ def _verify(threshold: float):
 
 
 def _with_sets(documents: DataFrame, members: DataFrame) -> DataFrame:
-    """members (doc, cls, ...) with the shingles of their class, read from the texts once."""
+    """members (doc, h, cls, ...) with the shingles of their class, read from the texts once."""
     columns = members.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,23 +301,19 @@ def _with_sets(documents: DataFrame, members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in columns), pa.array([sets[i].tobytes() for i in same], pa.binary())], names=[*columns, "shingles"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema) + ", shingles binary"
-    joined = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), "text").join(members.hint("shuffle_hash"), "doc")
+    joined = _keyed(documents).join(members.hint("shuffle_hash"), ["doc", "h"])
     return joined.select(*columns, "text").mapInArrow(run, schema)
 
 
-def join(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, rep_id, n_links) for every row of documents.
+def _classified(documents: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(doc, h, cls) of every row, and (cls, m, rep, least, links) of every class of equal sets.
 
-    n_links: how many other rows reach the threshold. class_id: least doc_id of all that links connect. rep_id: least
-    doc_id with the same set. A text of fewer than five words, but not none, is one shingle of them; a text without
-    words (null, empty) links to nothing and is its own class. Null ids count as 0 in class_id. Repeated rows link to
-    each other. A set's classes are named by 128 hash bits. Empty tables give none.
-    """
+    m: its rows; rep: its least (doc, h); least: that of all that links connect; links: other rows linked to each."""
     rows = stash(_sketched(documents))
-    reps = stash(rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.coalesce("doc", F.lit(0))).alias("doc"), F.count(F.lit(1)).alias("m"), F.min("sig").alias("sig"), F.min("low").alias("low")))
-    comps = components(stash(candidate_links(reps)))
+    reps = stash(rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("doc", "h")).alias("rep"), F.count(F.lit(1)).alias("m"), F.min("sig").alias("sig"), F.min("low").alias("low")))
+    comps = components(stash(candidate_links(reps, threshold, recall)))
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    members = reps.select("cls", "doc", "m").join(comps.withColumnRenamed("id", "cls"), "cls").join(sizes, "comp").select("comp", "cls", "doc", "m", "size")
+    members = reps.select("cls", "rep.doc", "rep.h", "m").join(comps.withColumnRenamed("id", "cls"), "cls").join(sizes, "comp").select("comp", "cls", "doc", "h", "m", "size")
     bins = F.greatest(F.lit(1), F.ceil(F.lit(comps.count() / BIN)))
     chunk = F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / BLOCK)).cast("int")
     sets = _with_sets(documents, members).withColumn("chunk", chunk).withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int"))
@@ -307,21 +325,44 @@ def join(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     })
     verified = stash(cells.select("single", "bin", "lo", "hi", "comp", "cls", "m", "side", "shingles").groupBy("single", "bin", "lo", "hi").applyInArrow(_verify(threshold), "a binary, b binary, links long"))
     linked = components(verified.select("a", "b"))
-    first = linked.join(reps.select(F.col("cls").alias("id"), "doc"), "id")
-    ids = first.join(first.groupBy("comp").agg(F.min("doc").alias("class_id")), "comp").select(F.col("id").alias("cls"), "class_id")
+    first = linked.join(reps.select(F.col("cls").alias("id"), "rep"), "id")
+    least = first.join(first.groupBy("comp").agg(F.min("rep").alias("least")), "comp").select(F.col("id").alias("cls"), "least")
     links = verified.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
-    per = reps.select("cls", F.col("doc").alias("rep_id"), "m").join(ids, "cls", "left").join(links, "cls", "left")
-    out = rows.select("doc", "cls").join(per, "cls", "left")
+    per = reps.select("cls", "m", "rep").join(least, "cls", "left").join(links, "cls", "left")
+    per = per.select("cls", "m", "rep", F.coalesce("least", "rep").alias("least"), F.coalesce("links", F.lit(0)).alias("links"))
+    # Written, so that the join of all rows is between plain exchanges, whose large partitions Spark splits: one class may have a third of the rows.
+    return rows.select("doc", "h", "cls"), stash(per)
+
+
+def join(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, rep_id, n_links) for every row of documents.
+
+    n_links: how many other rows reach the threshold. class_id: least doc_id of all that links connect. rep_id: least
+    doc_id with the same set. A text of fewer than five words, but not none, is one shingle of them; a text without
+    words (null, empty) links to nothing and is its own class. Null ids come first and show as 0 in class_id and
+    rep_id. Repeated rows link to each other. A set's classes are named by 128 hash bits. A pair at the threshold is
+    found with probability ``recall``, a more similar one with more. Empty tables give none. doc_id is an integer.
+    """
+    rows, per = _classified(documents, threshold, recall)
+    out = rows.join(per, "cls", "left")
+    shown = lambda c: F.when(c == NO_ID, F.lit(0)).otherwise(c)
     return out.select(
-        F.col("doc").alias("doc_id"), F.coalesce("class_id", "rep_id", "doc", F.lit(0)).alias("class_id"), F.coalesce("rep_id", "doc").alias("rep_id"),
+        F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), shown(F.coalesce("least.doc", "doc")).alias("class_id"), F.when(F.col("rep").isNull(), F.nullif("doc", F.lit(NO_ID))).otherwise(shown(F.col("rep.doc"))).alias("rep_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("m") - 1, F.lit(0))).cast("long").alias("n_links"))
 
 
-def keep_one(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """documents' columns of one document, the least doc_id, of each group of near duplicates; wordless ones all stay."""
-    found = join(documents, threshold).select("doc_id", "class_id", "n_links").filter((F.col("n_links") > 0) & (F.coalesce("doc_id", F.lit(0)) != F.col("class_id")))
-    gone = found.select(F.coalesce("doc_id", F.lit(0)).alias("_gone")).distinct()
-    return documents.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col("_gone"), "left_anti").select(documents.columns)
+def keep_one(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """documents' columns of one document of each group of near duplicates: the least doc_id, null first, ties by a hash
+    of the text.
+
+    Rows equal in doc_id and text are one document and stay once, as one of them. Different texts of one doc_id are
+    different documents. Texts without words (null, empty) are no duplicates of each other. Column names are free. An
+    empty table gives none.
+    """
+    rows, per = _classified(documents, threshold, recall)
+    gone = rows.join(per.select("cls", "least"), "cls").filter(F.struct("doc", "h") != F.col("least")).select("doc", "h").distinct()
+    packed = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), doc_key(documents).alias("doc"), F.xxhash64("text").alias("h"))
+    return packed.join(gone, ["doc", "h"], "left_anti").dropDuplicates(["doc", "h"]).select("row.*")
 
 
 SQL = r"""
