@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash
+from .common import doc_key, small_batches, stash
 from .textops import as_bytes, buffers, mix, prefix_hash, rolling_hash, span_hash
 
 WINDOW, GRAM = 100, 24
 #: Bytes of pieces that one collection takes.
 COLLECTION = 1 << 20
 _LOW = np.uint64((1 << 31) - 1)
+#: What dedup adds.
+ADDED = ("kept", "n_bytes", "n_removed", "n_spans")
 
 
 def anchors(buf: np.ndarray, base: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -356,17 +358,19 @@ def dedup(documents: DataFrame) -> DataFrame:
     first. Rows equal in doc_id and text are one document, each returned alike; different texts under one doc_id go
     by a hash of the text. An empty table gives none. Added names replace the input's columns of the same names.
     """
-    added = ["kept", "n_bytes", "n_removed", "n_spans"]
-    base = documents.drop(*added, "_doc", "_h")
-    keyed = base.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_h": F.xxhash64("text")})
-    spans = repeated(keyed.select(F.col("_doc").alias("doc"), F.col("_h").alias("h"), "text"))
-    spans = spans.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), "spans")
-    joined = keyed.join(spans, ["_doc", "_h"], "left").select(F.struct(*base.columns).alias("row"), F.col("text").alias("_t"), "spans")
+    return _dedup(documents, documents.drop(*ADDED).columns).select("row.*", *ADDED)
+
+
+def _dedup(documents: DataFrame, columns: list[str]) -> DataFrame:
+    """(row, kept, n_bytes, n_removed, n_spans), row a struct of ``columns``."""
+    keyed = documents.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), doc_key(documents).alias("doc"), F.xxhash64("text").alias("h"), "text")
+    spans = repeated(keyed.select("doc", "h", "text"))
+    joined = keyed.join(spans, ["doc", "h"], "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_bytes, n_removed, n_spans = [], [], [], []
-            for text, s in zip(as_bytes(batch.column("_t")), batch.column("spans").to_pylist(), strict=True):
+            for text, s in zip(as_bytes(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
                 n_bytes.append(len(text))
                 if s:
                     gone = removed_bytes(len(text), s)
@@ -377,10 +381,10 @@ def dedup(documents: DataFrame) -> DataFrame:
                     kept.append(text)
                     n_removed.append(0)
                     n_spans.append(0)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64())], names=["row", *added])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64())], names=["row", *ADDED])
 
-    schema = f"row {base.schema.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long"
-    return joined.mapInArrow(run, schema).select("row.*", *added)
+    schema = f"row {keyed.schema['row'].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long"
+    return joined.mapInArrow(run, schema)
 
 
 def report(documents: DataFrame) -> DataFrame:
@@ -389,11 +393,16 @@ def report(documents: DataFrame) -> DataFrame:
 
 
 def cut_repeats(documents: DataFrame) -> DataFrame:
-    """documents' columns, texts without repeated bytes (parts of a cut character go too), n_chars counted anew."""
-    cols = documents.columns
-    out = dedup(documents)
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")))
-    out = out.withColumn("text", text)
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(documents.schema["n_chars"].dataType))
-    return out.filter((F.col("n_removed") == 0) | (F.length("text") > 0)).select(cols)
+    """documents' columns, whatever their names: texts without repeated bytes (parts of a cut character go too), n_chars
+    counted anew where there is one.
+
+    Texts without a repeated byte, null and empty ones too, stay as they are; a text of which nothing is left goes with
+    its row. Repeated rows, null ids and empty tables are as in dedup.
+    """
+    cut = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
+    out = _dedup(documents, documents.columns).withColumn("text", F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(cut))
+    new = {"text": F.col("text")}
+    if "n_chars" in documents.columns:
+        new["n_chars"] = F.coalesce(F.length("text"), F.lit(0)).cast(documents.schema["n_chars"].dataType)
+    out = out.filter((F.col("n_removed") == 0) | (F.length("text") > 0))
+    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in documents.columns))
