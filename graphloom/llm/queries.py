@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontam.SQL, "op7_chat_format": chat.SQL, "op10_chosen_path": jaccard.SQL}
+    return {"op2_decontaminate": decontam.SQL, "op4_sentence_spans": sentences.SQL, "op7_chat_format": chat.SQL, "op10_chosen_path": jaccard.SQL}

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash
+from .common import doc_key, small_batches, stash
 
 SPAN = 3
 #: Rows of spans in one Arrow batch.
@@ -93,25 +93,40 @@ def dedup(documents: DataFrame) -> DataFrame:
     table gives none. Added names replace the input's columns of the same names.
     """
     added = ["kept", "n_bytes", "n_sentences", "n_removed", "n_spans"]
-    base = documents.drop(*added, "_doc", "_h")
-    keyed = base.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_h": F.xxhash64("text")})
-    later = repeated(keyed.select(F.col("_doc").alias("doc"), F.col("_h").alias("h"), "text"))
-    later = later.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), "later")
-    joined = keyed.join(later, ["_doc", "_h"], "left").select(F.struct(*base.columns).alias("row"), F.col("text").alias("_t"), "later")
+    columns = documents.drop(*added).columns
+    keyed = documents.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), doc_key(documents).alias("doc"), F.xxhash64("text").alias("h"), "text")
+    later = repeated(keyed.select("doc", "h", "text"))
+    joined = keyed.join(later, ["doc", "h"], "left").select("row", "text", "later")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in added]
-            for text, x in zip(batch.column("_t").to_pylist(), batch.column("later").to_pylist(), strict=True):
+            for text, x in zip(batch.column("text").to_pylist(), batch.column("later").to_pylist(), strict=True):
                 kept, sentences, removed, runs = cut(text or "", x or [])
                 for c, v in zip(cols, (kept, len((text or "").encode()), sentences, removed, runs), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["row", *added])
 
-    schema = f"row {base.schema.simpleString()}, kept string, n_bytes long, n_sentences long, n_removed long, n_spans long"
+    schema = f"row {keyed.schema['row'].dataType.simpleString()}, kept string, n_bytes long, n_sentences long, n_removed long, n_spans long"
     return joined.mapInArrow(run, schema).select("row.*", *added)
 
 
 def report(documents: DataFrame) -> DataFrame:
     out = dedup(documents.select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_sentences", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '(?s).*?(?:[.!?…]+["''”’»)\]]*WS+|[。！？]+["”’」』）]*WS*|\nWS*|$)') AS p FROM documents),
+parts AS MATERIALIZED (SELECT doc_id, i, p[i] AS raw, trim(regexp_replace(p[i], 'WS+', ' ', 'g')) AS f FROM d, unnest(range(1, len(p) + 1)) AS u(i)),
+sent AS MATERIALIZED (SELECT doc_id, i, f, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM parts WHERE f <> ''),
+span AS (SELECT doc_id, k, md5(f) AS a, md5(lead(f, 1) OVER w) AS b, md5(lead(f, 2) OVER w) AS c FROM sent WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+later AS (SELECT doc_id, k FROM span WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, k) > 1),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, k + o AS k FROM later, range(3) AS r(o)),
+cut AS (SELECT sent.doc_id, i, NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = sent.doc_id AND g.k = sent.k - 1) AS starts FROM sent JOIN gone ON gone.doc_id = sent.doc_id AND gone.k = sent.k),
+per AS (SELECT doc_id, string_agg(raw, '' ORDER BY i) FILTER (starts IS NULL) AS kept, sum(strlen(raw)) FILTER (starts IS NOT NULL) AS n_removed, count(*) FILTER (starts) AS n_spans, count(*) FILTER (f <> '') AS n_sentences
+  FROM parts LEFT JOIN cut USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(strlen(t) AS BIGINT) AS n_bytes, CAST(coalesce(n_sentences, 0) AS BIGINT) AS n_sentences, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN per USING (doc_id)
+""".replace("WS", r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
