@@ -6,16 +6,19 @@
    filled; the block where that happens is cut document by document, the last document by words.
 4. Block quotas are dealt to output shards by a binary tree: at each node the left half's share of every source is
    drawn from the multivariate hypergeometric distribution, so quotas add up exactly on every level. A shard then owns
-   a disjoint run of each source's permuted blocks, and sorts its own rows by another hash.
+   a disjoint run of each source's permuted blocks. Its rows are ordered by another hash: written parts hold the
+   shards one after another, each in that order.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import workdir
+from .common import NO_ID, doc_key, workdir
 
 SIZE = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -25,28 +28,42 @@ SEED = 20240607
 BROADCAST_SOURCES = 10_000
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """sizes with i, the source's place in code-point order, null last: counted range by range, so no task holds them all."""
+    order = [F.col("source").isNull(), F.col("source")]
+    rows = sizes.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")).checkpoint()
+    before, first = 0, []
+    for r in sorted(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()):  # a row a partition
+        first += [F.lit(r["part"]), F.lit(before).cast("long")]
+        before += r["n"]
+    place = F.element_at(F.create_map(*first), F.col("part")) + F.col("at") if first else F.lit(0).cast("long")
+    return rows.withColumn("i", place).drop("part", "at")
+
+
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_repeats: float = 3.0) -> DataFrame:
-    """(source key, source_size, target) from (key, source, source_size).
+    """(source key, source_size, target) from (key, source, source_size), one row a source.
 
     Sources take weights in code-point order, null last, repeating. A source whose share would pass max_repeats times
-    its size stops there and the rest is shared again. Stopped sources are those of least size per weight, so
-    one ordered pass finds the common level. Works on one row per source.
+    its size stops there and the rest is shared again by weight. Each round works out the common level from sums over
+    all sources and stops those that it fills; it only rises, so a few rounds settle it.
     """
-    order = W.orderBy(F.col("source").isNull(), "source")
-    ranked = sizes.withColumn("i", F.row_number().over(order) - 1)
     weight = F.lit(float(weights[-1]))
     for k, x in list(enumerate(weights))[:-1]:
         weight = F.when(F.col("i") % len(weights) == k, F.lit(float(x))).otherwise(weight)
-    ranked = ranked.withColumn("w", weight).withColumn("stop", F.col("source_size") * max_repeats)
-    by_ratio, everything = W.orderBy(F.col("stop") / F.col("w"), "i").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(F.lit(0))
-    ranked = (
-        ranked.withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("rest_w", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(by_ratio), F.lit(0.0)))
-        .withColumn("level", (F.col("total") - F.coalesce(F.sum("stop").over(by_ratio), F.lit(0.0))) / F.col("rest_w"))
-    )
-    # The first source, by ratio, that its level doesn't stop sets the level of all that follow.
-    ranked = ranked.withColumn("common", F.min(F.when(F.col("level") * F.col("w") <= F.col("stop"), F.struct((F.col("stop") / F.col("w")).alias("r"), "i", "level"))).over(everything)["level"])
-    target = F.when(F.col("common").isNull(), F.col("stop")).otherwise(F.least(F.col("stop"), F.col("common") * F.col("w")))
+    ranked = _ranked(sizes).withColumn("w", weight).withColumn("stop", F.col("source_size") * max_repeats)
+    level = -1.0
+    while True:
+        full = F.col("stop") < F.lit(level) * F.col("w")
+        got = ranked.agg(F.sum("source_size").alias("all"), F.sum(F.when(full, F.col("stop"))).alias("stopped"), F.sum(F.when(~full, F.col("w"))).alias("w")).head()
+        if not got["all"] or not got["w"]:
+            level = 0.0 if not got["all"] else float("inf")
+            break
+        new = (got["all"] - (got["stopped"] or 0.0)) / got["w"]
+        if new <= level:
+            break
+        level = new
+    target = F.col("stop") if math.isinf(level) else F.least(F.col("stop"), F.lit(level) * F.col("w"))
     return ranked.select("key", "source_size", target.cast("double").alias("target"))
 
 
@@ -58,27 +75,17 @@ def _bounded(df: DataFrame, many: bool) -> DataFrame:
     return df if many else F.broadcast(df)
 
 
-def plan_mix(documents: DataFrame, weights: tuple = WEIGHTS, max_repeats: float = 3.0, seed: int = SEED) -> DataFrame:
-    """documents' columns with size, source_size, target, block, whole, taken, copies.
+def _decide(base: DataFrame, weights: tuple, max_repeats: float, seed: int) -> DataFrame:
+    """(doc_id, h, key, size, source_size, target, block, whole, taken, copies) for every row.
 
     taken = words the mix takes of the row; copies = times it is taken, a cut one counted; block = its permuted block.
-    Texts don't move: sizes are read once into a narrow checkpoint that the rest works on, joined back by row identity
-    (doc_id, hash of text, number among equals). Null text has size 0 and gives nothing; a null source is a source;
-    repeated rows are separate rows, each taken by itself; ties of the permutation go by doc_id, then text hash. An
-    empty table gives an empty mix. Added names replace the input's columns of the same names.
+    Texts don't move: sizes are read once into a narrow checkpoint that the rest works on. Null text has size 0 and
+    gives nothing; a null source is a source; repeated rows are separate rows; ties of the permutation go by doc_id,
+    then text hash. doc_id is an integer or null.
     """
-    added = ["size", "source_size", "target", "block", "whole", "taken", "copies"]
-    base = documents.drop(*added)
-    narrow = _decide(base, weights, max_repeats, seed)
-    return base.withColumns({"_d": F.coalesce("doc_id", F.lit(0)), "_h": F.xxhash64("text", "source", "doc_id")}).join(
-        narrow.select(F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("h").alias("_h"), *added).dropDuplicates(["_d", "_h"]), ["_d", "_h"]).drop("_d", "_h")
-
-
-def _decide(base: DataFrame, weights: tuple, max_repeats: float, seed: int) -> DataFrame:
-    """(doc_id, h, key, size, source_size, target, block, whole, taken, copies) for every row."""
     workdir(base.sparkSession)
     docs = base.select(
-        "doc_id", F.xxhash64("text", "source", "doc_id").alias("h"), _key("source").alias("key"), F.col("source").cast("string").alias("source"),
+        doc_key(base).alias("doc_id"), F.xxhash64("text", "source", "doc_id").alias("h"), _key("source").alias("key"), F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(SIZE)), F.lit(0)).cast("long").alias("size"),
     ).withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "h")).checkpoint()
     sizes = docs.groupBy("key").agg(F.max("source").alias("source"), F.sum("size").alias("source_size"))
@@ -106,10 +113,9 @@ def _decide(base: DataFrame, weights: tuple, max_repeats: float, seed: int) -> D
     docs = docs.join(_bounded(edges, many), "key", "left").withColumn("cell", F.shiftrightunsigned(F.shiftleft("place", 12), 52).cast("int"))
     at_leaf = (F.col("block") == F.col("b1")) & (F.col("cell") == F.col("b2"))
     more = F.when(F.col("b1").isNull() | (F.col("block") < F.col("b1")), F.col("size")).when((F.col("block") == F.col("b1")) & (F.col("b2").isNull() | (F.col("cell") < F.col("b2"))), F.col("size")).otherwise(F.lit(0))
-    null_safe = F.coalesce("doc_id", F.lit(0)).alias("_d")
-    cut = cut.select(null_safe, F.col("h").alias("_h"), (F.col("part") / F.col("n")).alias("part"))
+    cut = cut.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), (F.col("part") / F.col("n")).alias("part"))
     docs = docs.withColumn("leaf", F.coalesce(at_leaf, F.lit(False)))
-    out = docs.join(cut, docs["leaf"] & (F.coalesce(docs["doc_id"], F.lit(0)) == cut["_d"]) & (docs["h"] == cut["_h"]), "left")
+    out = docs.join(cut, docs["leaf"] & (docs["doc_id"] == cut["_d"]) & (docs["h"] == cut["_h"]), "left")
     extra = F.when(F.col("leaf"), F.floor(F.coalesce("part", F.lit(0.0)))).otherwise(more).cast("long")
     taken = (F.col("whole") * F.col("size") + extra).cast("long")
     return out.select("doc_id", "h", "key", "size", "source_size", "target", "block", "whole", taken.alias("taken"), (F.col("whole") + (extra > 0).cast("long")).alias("copies"))
@@ -209,20 +215,23 @@ def draw(decided: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFram
 
 
 def deal(documents: DataFrame, shards: int = SHARDS, weights: tuple = WEIGHTS, max_repeats: float = 3.0, seed: int = SEED) -> DataFrame:
-    """The mix itself: documents' rows once for every copy taken, with copy, words (of it), shard and place.
+    """The mix itself: documents' rows once for every copy taken, with copy, words (of it), shard and place added.
 
-    A row with words below its size is cut there by the caller. Texts move once, in the join with what was drawn.
-    Repeated rows equal in doc_id, text and source share what they were given together: it is drawn once for all.
+    A row with words below its size is cut there by the caller. Texts move once, in the join with what was drawn; each
+    partition then holds its rows by shard, and in a shard by place, a hash, so a shard's rows are shuffled. Rows equal
+    in doc_id, text and source are taken alike, each by itself, with one shard and place for a copy of all. Null text has
+    no words and isn't drawn; a null source is a source; null ids are one id. Input columns of an added name are
+    replaced, other names are free. An empty table gives an empty mix.
     """
-    base = documents.drop("copy", "words", "shard", "place")
-    drawn = draw(_decide(base, weights, max_repeats, seed), shards, seed).groupBy(F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("h").alias("_h"), "copy").agg(F.max("words").alias("words"), F.min("shard").alias("shard"), F.min("place").alias("place"))
-    keyed = base.withColumns({"_d": F.coalesce("doc_id", F.lit(0)), "_h": F.xxhash64("text", "source", "doc_id")})
-    return keyed.join(drawn, ["_d", "_h"]).drop("_d", "_h")
+    added = ("copy", "words", "shard", "place")
+    drawn = draw(_decide(documents, weights, max_repeats, seed), shards, seed).groupBy(F.col("doc_id").alias("d"), "h", "copy").agg(F.max("words").alias("words"), F.min("shard").alias("shard"), F.min("place").alias("place"))
+    packed = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.drop(*added).columns)).alias("row"), doc_key(documents).alias("d"), F.xxhash64("text", "source", "doc_id").alias("h"))
+    return packed.join(drawn, ["d", "h"]).sortWithinPartitions("shard", "place").select("row.*", *added)
 
 
 def report(documents: DataFrame) -> DataFrame:
-    """taken is what the shards' draws add up to. Rows equal in doc_id, text and source halve what they got together."""
+    """taken is what the shards' draws add up to. Rows equal in doc_id, text and source are drawn alike, each by itself."""
     decided = _decide(documents.select("doc_id", "text", "source"), WEIGHTS, 3.0, SEED).checkpoint()
-    got = draw(decided).groupBy(F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("h").alias("_h"), "copy").agg(F.max("words").alias("w")).groupBy("_d", "_h").agg(F.sum("w").alias("drawn"))
-    out = decided.join(got, (F.coalesce("doc_id", F.lit(0)) == F.col("_d")) & (F.col("h") == F.col("_h")), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("drawn", F.lit(0)).cast("long").alias("taken"))
+    got = draw(decided).groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "copy").agg(F.max("words").alias("w")).groupBy("_d", "_h").agg(F.sum("w").alias("drawn"))
+    out = decided.join(got, (F.col("doc_id") == F.col("_d")) & (F.col("h") == F.col("_h")), "left")
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "size", "source_size", "target", F.coalesce("drawn", F.lit(0)).cast("long").alias("taken"))
