@@ -84,13 +84,16 @@ class Automaton:
         room = sum(map(len, states)) * 2 + 2 * width + 4
         taken, owner, target = bytearray(room), np.full(room, -1, np.int32), np.zeros(room, np.int32)
         free = width + 1  # slots before it, from width + 1 on, are taken
+        open_ = free  # where states of several symbols look first; what they leave free, states of one symbol fill
         for s in sorted(range(len(states)), key=lambda s: -len(states[s])):
             if not states[s]:
                 continue
             want = sorted(states[s])
-            at = free
+            at, far = (free, 0) if len(want) == 1 else (max(free, open_), 0)
             while any(taken[at - want[0] + c] for c in want):
-                at += 1
+                at, far = at + 1, far + 1
+            if far > 32:
+                open_ = at
             base[s] = at - want[0]
             for c in want:
                 slot = base[s] + c
@@ -98,7 +101,7 @@ class Automaton:
                 owner[slot], target[slot] = s, states[s][c]
             while taken[free]:
                 free += 1
-            if room - free < 2 * width + 4:
+            if room - max(free, open_) < 2 * width + 64:
                 taken += bytes(room)
                 owner, target = np.concatenate([owner, np.full(room, -1, np.int32)]), np.concatenate([target, np.zeros(room, np.int32)])
                 room = len(taken)
