@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from .functions.scalar import register_function
 from .operators import algorithms as alg
 from .plans.builder import QueryBuilder
-from .plans.parser import QueryError, parse
+from .plans.compiler import has_aggregate
+from .plans.parser import QueryError, names, parse
 from .plans.writes import Writer
 from .sources.graph import PropertyGraph
 
@@ -34,11 +35,11 @@ class GraphEngine:
         self._saved: list[tuple] = []
         self.procedures: dict[str, Callable[..., DataFrame]] = {
             "gds.graph.project": self._project, "gds.graph.drop": self._drop, "gds.pagerank.stream": self._pagerank, "gds.wcc.stream": lambda g: alg.connected(*self._named(g)[:2], self.settle),
-            "gds.betweenness.stream": lambda g, n=0: alg.betweenness(*self._named(g), self.settle, n).orderBy(F.desc("score"), "nodeId"), "gds.closeness.stream": lambda g: alg.closeness(*self._named(g), self.settle).orderBy(F.desc("score"), "nodeId"),
+            "gds.betweenness.stream": lambda g, n=0: alg.betweenness(*self._named(g), self.settle, n).orderBy(F.desc("score"), "nodeId"), "gds.closeness.stream": lambda g, n=0: alg.closeness(*self._named(g), self.settle, n).orderBy(F.desc("score"), "nodeId"),
             "gds.shortestpath.dijkstra.stream": self._dijkstra, "algo.shortestpath": self._shortest, "db.index.vector.querynodes": self._vector, "db.index.vector.train": self._train,
             "dbms.listconfig": lambda: self._rows(sorted(self.config.items()), "key string, value string"), "dbms.getconfig": lambda k: self._rows([(k, self.config.get(k))], "key string, value string"), "dbms.setconfig": self._set_config,
             "dbms.showstats": lambda: self._rows([("engine", k, str(v)) for k, v in self.stats.items()], "category string, metric string, value string"), "dbms.resetstats": self._reset,
-            "dbms.createlabelindex": lambda *a: self._rows([("ok",)], "result string"), "dbms.droplabelindex": lambda *a: self._rows([("ok",)], "result string"),
+            "dbms.createlabelindex": self._label_index, "dbms.droplabelindex": self._drop_label_index,
         }
 
     # -- running ---------------------------------------------------------------------------------------------------
@@ -62,7 +63,7 @@ class GraphEngine:
         if kind == "query":
             return self._query(stmt, params)
         if kind == "explain":
-            rows = [(c["kind"], ", ".join(f"{k}={v}" for k, v in c.items() if k != "kind" and v)) for p in stmt["body"]["parts"] for c in p]
+            rows = outline(stmt["body"])
             saved = self.graph
             df = Writer(self, params).query(stmt["body"]) if not self._writes(stmt["body"]) else None
             self.graph = saved
@@ -103,10 +104,14 @@ class GraphEngine:
             raise
 
     def settle(self, df: DataFrame) -> DataFrame:
-        """Checkpoint in the folder the cluster names; one of our own only where none is named."""
+        """Checkpoint in the folder the cluster names. Only a local master, which shares everything, gets a temporary
+        folder where none is named."""
         sc = self.spark.sparkContext
         if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphloom-"))
+            named = sc.getConf().get("spark.checkpoint.dir")
+            if named is None and not sc.master.startswith("local"):
+                raise QueryError("set spark.checkpoint.dir to a folder that all executors and the driver share")
+            sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-"))
         return df.checkpoint()
 
     def _rows(self, rows: list, schema: str) -> DataFrame:
@@ -200,11 +205,13 @@ class GraphEngine:
     def _dijkstra(self, g: str, s: int, t: int) -> DataFrame:
         nodes, edges = self._named(g)
         if nodes.filter(F.col("id").isin(s, t)).count() < len({s, t}):
-            return self._rows([], "nodeId long, cost double, totalCost double, step int")
-        return alg.dijkstra(edges, s, t, self.settle).orderBy("step")
+            return self._rows([], "nodeId long, node struct<id: long, labels: array<string>>, cost double, totalCost double")
+        path = alg.dijkstra(edges, s, t, self.settle)
+        node = self.graph.scan([])[0].select("id", F.struct("id", "labels").alias("node"))
+        return node.join(F.broadcast(path), F.col("id") == F.col("nodeId")).orderBy("step").select("nodeId", "node", "cost", "totalCost")  # a path of two known ends
 
     def _shortest(self, s: int, t: int) -> DataFrame:
-        found = alg.bfs(self.graph.edges([])[0], s, self.settle).filter(F.col("nodeId") == t)
+        found = alg.bfs(self.graph.edges([])[0], s, self.settle, None, t).filter(F.col("nodeId") == t)
         return found.select(F.posexplode("path").alias("step", "node"), F.size("path").cast("long").alias("path_length"))
 
     def _index(self, name: str) -> dict:
@@ -221,6 +228,15 @@ class GraphEngine:
         empty = self.graph.scan([c["label"]])[0].isEmpty()
         return self._rows([("Skipped (Empty Data)" if empty else "Exact search needs no training",)], "status string")
 
+    def _label_index(self, name: str = "label") -> DataFrame:
+        self.indexes[name] = {"type": "label", "label": "", "props": []}
+        return self._rows([("ok",)], "result string")
+
+    def _drop_label_index(self, name: str = "label") -> DataFrame:
+        if self.indexes.pop(name, None) is None:
+            raise QueryError(f"no index {name}")
+        return self._rows([("ok",)], "result string")
+
     def _set_config(self, key: str, value) -> DataFrame:
         self.config[key] = str(value)
         return self._rows([(key, str(value), "ok")], "key string, value string, status string")
@@ -231,7 +247,89 @@ class GraphEngine:
 
     # -- native methods --------------------------------------------------------------------------------------------
     def get_shortest_path(self, s: int, t: int, max_depth: int = 15) -> DataFrame:
-        return alg.bfs(self.graph.edges([])[0], s, self.settle, max_depth).filter(F.col("nodeId") == t)
+        return alg.bfs(self.graph.edges([])[0], s, self.settle, max_depth, t).filter(F.col("nodeId") == t)
 
     def bfs(self, start: int) -> DataFrame:
+        """(nodeId, depth, path) of all that a node reaches, along relationships of either direction."""
         return alg.bfs(self.graph.edges([])[0], start, self.settle)
+
+    def find_all_paths(self, s: int, t: int, max_depth: int = 15) -> DataFrame:
+        return alg.all_paths(self.graph.edges([])[0], s, t, self.settle, max_depth)
+
+    def create_nodes(self, labels: str | list[str], rows: list[dict]) -> DataFrame:
+        """Add a node for each row of properties; (id, properties) of what was made."""
+        names = [labels] if isinstance(labels, str) else list(labels)
+        keys = list(dict.fromkeys(k for r in rows for k in r))
+        made = ", ".join(f"`{k}`: r.`{k}`" for k in keys)
+        shown = ", ".join(["id(n) AS id", *(f"n.`{k}` AS `{k}`" for k in keys)])
+        return self.cypher(f"UNWIND $rows AS r CREATE (n{''.join(f':`{x}`' for x in names)} {{{made}}}) RETURN {shown}", rows=rows or [{}])
+
+    def create_node(self, labels: str | list[str], **props) -> int:
+        """Add one node; its id."""
+        return self.create_nodes(labels, [props]).head()[0]
+
+    def create_edges(self, kind: str, rows: list[tuple[int, int, dict]]) -> None:
+        """Add a relationship for each (source id, target id, properties)."""
+        keys = list(dict.fromkeys(k for *_, p in rows for k in p))
+        made = [{"__s": s, "__t": t} | {k: p.get(k) for k in keys} for s, t, p in rows]
+        if made:
+            props = " {" + ", ".join(f"`{k}`: r.`{k}`" for k in keys) + "}" if keys else ""
+            self.cypher(f"UNWIND $rows AS r MATCH (a) WHERE id(a) = r.`__s` MATCH (b) WHERE id(b) = r.`__t` CREATE (a)-[:`{kind}`{props}]->(b)", rows=made)
+
+    def create_edge(self, source: int, target: int, kind: str, **props) -> None:
+        self.create_edges(kind, [(source, target, props)])
+
+    # -- results ---------------------------------------------------------------------------------------------------
+    def fetchall(self, text: str, **params) -> list[dict]:
+        return [r.asDict() for r in self.cypher(text, **params).collect()]
+
+    def single(self, text: str, **params) -> dict:
+        """The one row of a query; none or several raise."""
+        rows = self.cypher(text, **params).take(2)
+        if len(rows) != 1:
+            raise QueryError("not one row")
+        return rows[0].asDict()
+
+    def scalar(self, text: str, **params):
+        """The first column of the first row, or None."""
+        row = self.cypher(text, **params).head()
+        return None if row is None else row[0]
+
+    def to_df(self, text: str, **params):
+        """A query's rows as a pandas frame."""
+        return self.cypher(text, **params).toPandas()
+
+
+#: What a clause is called in an outline.
+_STEPS = {"unwind": "Unwind", "load": "LoadCsv", "call": "ProcedureCall", "sub": "CallSubquery", "merge": "Merge", "set": "Set", "remove": "Remove", "delete": "Delete", "foreach": "Foreach"}
+
+
+def outline(stmt: dict) -> list[tuple[str, str]]:
+    """(operator, details) of a query, in the order of its clauses."""
+    rows: list[tuple[str, str]] = []
+    node = lambda n: f"({n['var'] or ''}{''.join(':' + x for x in n['labels'])}{' ' + ', '.join(n['props']) if n['props'] else ''})"
+    for k, part in enumerate(stmt["parts"]):
+        if k:
+            rows.append(("Union" if not stmt["alls"][k - 1] else "UnionAll", ""))
+        for c in part:
+            if c["kind"] in ("match", "create_pattern"):
+                new = c["kind"] == "create_pattern"
+                for p in c["patterns"]:
+                    rows.append(("CreateNode" if new else "OptionalMatch" if c["optional"] else "NodeScan", node(p["nodes"][0])))
+                    for r, n in zip(p["rels"], p["nodes"][1:], strict=True):
+                        hops = f" *{r['lo']}..{r['hi']}" if r["hi"] is not None else ""
+                        rows.append(("CreateEdge" if new else "VarLengthTraversal" if hops else "Traversal", f"{r['dir']} {'|'.join(r['types'])}{hops} {node(n)}"))
+                if not new and c["where"] is not None:
+                    rows.append(("Filter", ", ".join(sorted(names(c["where"])))))
+            elif c["kind"] in ("return", "with"):
+                shown = ", ".join([*(["*"] if c["star"] else []), *(a for _, a in c["items"])])
+                rows.append(("Aggregate" if any(has_aggregate(e) for e, _ in c["items"]) else "Project", shown))
+                rows += [("Distinct", "")] * c["distinct"]
+                if c["order"]:
+                    rows.append(("Sort", ", ".join("ASC" if up else "DESC" for _, up in c["order"])))
+                rows += [(w.capitalize(), str(c[w])) for w in ("skip", "limit") if c[w] is not None]
+                if c["where"] is not None:
+                    rows.append(("Filter", ", ".join(sorted(names(c["where"])))))
+            else:
+                rows.append((_STEPS[c["kind"]], str(c.get("name") or c.get("var") or "")))
+    return rows

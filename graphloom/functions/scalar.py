@@ -15,8 +15,8 @@ def _substring(s: Column, start: Column, n: Column | None = None) -> Column:
     size = F.length(s)
     begin = F.when(start < 0, F.greatest(size + start, F.lit(0))).otherwise(start)
     if n is None:
-        return F.substring(s, begin + 1, size)
-    return F.substring(s, begin + 1, F.when(n < 0, F.greatest(size - begin + n, F.lit(0))).otherwise(n))
+        return F.substring(s, (begin + 1).cast("int"), size)
+    return F.substring(s, (begin + 1).cast("int"), F.when(n < 0, F.greatest(size - begin + n, F.lit(0))).otherwise(n).cast("int"))
 
 
 def _range(a: Column, b: Column, step: Column | None = None) -> Column:
@@ -29,7 +29,7 @@ def _range(a: Column, b: Column, step: Column | None = None) -> Column:
 def _to_integer(x: Column) -> Column:
     s = x.cast("string")
     whole = F.regexp_extract(s, r"^\s*([+-]?\d+)", 1)
-    return F.when(x.isNull(), F.lit(None)).when(F.lower(s) == "true", F.lit(1)).when(F.lower(s) == "false", F.lit(0)).when(whole == "", F.raise_error(F.concat(F.lit("not an integer: "), s))).otherwise(whole).cast("long")
+    return F.when(x.isNull(), F.lit(None)).when(F.typeof(x).isin("double", "float"), x.try_cast("double").cast("long")).when(F.lower(s) == "true", F.lit(1)).when(F.lower(s) == "false", F.lit(0)).when(whole == "", F.raise_error(F.concat(F.lit("not an integer: "), s))).otherwise(whole).cast("long")
 
 
 def _to_boolean(x: Column) -> Column:
@@ -69,7 +69,7 @@ FUNCTIONS: dict[str, tuple[int, int, Builder]] = {
     "left": (2, 2, lambda s, n: _guard(n >= 0, F.left(s, n.cast("int")))), "right": (2, 2, lambda s, n: _guard(n >= 0, F.right(s, n.cast("int")))),
     "split": (2, 2, _split), "reverse": (1, 1, F.reverse),
     "abs": (1, 1, F.abs), "ceil": (1, 1, lambda x: F.ceil(x).cast("double")), "floor": (1, 1, lambda x: F.floor(x).cast("double")),
-    "round": (1, 2, lambda x, n=None: (F.round(x.cast("double")) if n is None else F.round(x.cast("double"), n)).cast("double")), "sqrt": (1, 1, lambda x: _guard(x >= 0, F.sqrt(x))),
+    "round": (1, 2, lambda x, n=None: (F.round(x.cast("double")) if n is None else F.round(x.cast("double"), n.cast("int"))).cast("double")), "sqrt": (1, 1, lambda x: _guard(x >= 0, F.sqrt(x))),
     "sign": (1, 1, lambda x: F.signum(x).cast("long")), "log": (1, 1, lambda x: _guard(x > 0, F.ln(x))), "log10": (1, 1, lambda x: _guard(x > 0, F.log10(x))),
     "exp": (1, 1, F.exp), "pow": (2, 2, F.pow), "sin": (1, 1, F.sin), "cos": (1, 1, F.cos), "tan": (1, 1, F.tan),
     "asin": (1, 1, lambda x: _guard(F.abs(x) <= 1, F.asin(x))), "acos": (1, 1, lambda x: _guard(F.abs(x) <= 1, F.acos(x))),
@@ -83,11 +83,28 @@ FUNCTIONS: dict[str, tuple[int, int, Builder]] = {
 }
 
 
-def _percentile_disc(x: Column, p: Column) -> Column:
-    s = F.sort_array(F.collect_list(x))
+def _percentile_disc(x: Column, p: Column, distinct: bool = False) -> Column:
+    s = F.sort_array(F.collect_set(x) if distinct else F.collect_list(x))
     return F.get(s, F.floor(p * (F.size(s) - 1)).cast("int"))
 
 
+def _percentile_cont(x: Column, p: Column) -> Column:
+    """Over distinct values, between the two neighbours of the place p * (n - 1)."""
+    s = F.sort_array(F.collect_set(x.cast("double")))
+    at = p * (F.size(s) - 1)
+    low, high = F.get(s, F.floor(at).cast("int")), F.get(s, F.ceil(at).cast("int"))
+    return low + (high - low) * (at - F.floor(at))
+
+
+def _deviation(x: Column, less: int) -> Column:
+    """Standard deviation of the distinct values."""
+    s = F.collect_set(x.cast("double"))
+    add = lambda a, v: a + v
+    mean = F.aggregate(s, F.lit(0.0), add) / F.nullif(F.size(s), F.lit(0))
+    squares = F.aggregate(F.transform(s, lambda v: (v - mean) * (v - mean)), F.lit(0.0), add)
+    return F.when(F.size(s) > less, F.sqrt(squares / F.nullif(F.size(s) - less, F.lit(0))))
+
+
 #: name -> builder(column, distinct, further arguments)
 AGGREGATES: dict[str, Callable[..., Column]] = {
     "count": lambda x, d: F.count_distinct(x) if d else F.count(x),
@@ -95,8 +112,8 @@ AGGREGATES: dict[str, Callable[..., Column]] = {
     "avg": lambda x, d: F.avg(x) if not d else F.sum_distinct(x.cast("double")) / F.count_distinct(x),
     "min": lambda x, d: F.min(x), "max": lambda x, d: F.max(x),
     "collect": lambda x, d: F.array_distinct(F.transform(F.collect_list(F.struct(x.alias("x"))), lambda s: s["x"])) if d else F.transform(F.collect_list(F.struct(x.alias("x"))), lambda s: s["x"]),
-    "stdev": lambda x, d: F.stddev_samp(x), "stdevp": lambda x, d: F.stddev_pop(x),
-    "percentiledisc": lambda x, d, p: _percentile_disc(x, p), "percentilecont": lambda x, d, p: F.percentile(x, p),
+    "stdev": lambda x, d: _deviation(x, 1) if d else F.stddev_samp(x), "stdevp": lambda x, d: _deviation(x, 0) if d else F.stddev_pop(x),
+    "percentiledisc": lambda x, d, p: _percentile_disc(x, p, d), "percentilecont": lambda x, d, p: _percentile_cont(x, p) if d else F.percentile(x, p),
 }
 
 

@@ -12,20 +12,20 @@ Settle = Callable[[DataFrame], DataFrame]
 
 def pagerank(vertices: DataFrame, edges: DataFrame, settle: Settle, rounds: int = 20, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """(nodeId, score), summing to 1: power iteration, rank of nodes without out-edges spread over all. Parallel edges
-    count each; rounds end early once scores move less than ``tolerance`` in sum."""
+    count each; rounds end early once scores move less than ``tolerance`` in sum. Both sums of a round are one query."""
     n = vertices.count()
     if not n:
         return vertices.select(F.col("id").alias("nodeId"), F.lit(0.0).alias("score"))
     share = settle(edges.join(edges.groupBy("src").agg(F.count(F.lit(1)).alias("out")), "src").groupBy("src", "dst").agg((F.count(F.lit(1)) / F.first("out")).alias("w")))
-    sinks = settle(vertices.join(share.select(F.col("src").alias("id")).distinct(), "id", "left_anti"))
-    rank = settle(vertices.select("id", F.lit(1.0 / n).alias("r")))
+    leads = share.select(F.col("src").alias("id"), F.lit(True).alias("leads")).distinct()
+    rank = settle(vertices.select("id").join(leads, "id", "left").select("id", F.lit(1.0 / n).alias("r"), F.col("leads").isNull().alias("sink")))
+    lost = rank.agg(F.sum(F.when(F.col("sink"), F.col("r")))).head()[0] or 0.0
     for _ in range(rounds):
-        lost = rank.join(sinks, "id", "left_semi").agg(F.coalesce(F.sum("r"), F.lit(0.0))).head()[0]
         got = share.join(rank, share["src"] == rank["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("r")).alias("got"))
-        new = rank.join(got, "id", "left").select("id", "r", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("new"))
+        new = rank.join(got, "id", "left").select("id", "sink", "r", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("new"))
         new = settle(new)
-        moved = new.agg(F.sum(F.abs(F.col("new") - F.col("r")))).head()[0]
-        rank = new.select("id", F.col("new").alias("r"))
+        moved, lost = new.agg(F.sum(F.abs(F.col("new") - F.col("r"))), F.coalesce(F.sum(F.when(F.col("sink"), F.col("new"))), F.lit(0.0))).head()
+        rank = new.select("id", F.col("new").alias("r"), "sink")
         if moved < tolerance:
             break
     return rank.select(F.col("id").alias("nodeId"), F.col("r").alias("score"))
@@ -66,71 +66,124 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return both.filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("m"))
 
 
+#: Rows that the searches of one batch of sources may hold together, if every source reaches every node.
+HELD = 1 << 28
+
+
+def batches(vertices: DataFrame, n: int, samples: int, settle: Settle) -> list[DataFrame]:
+    """The sources - all, or ``samples`` by a seeded hash - in batches that hold at most HELD rows with what they reach."""
+    sources = vertices if not samples or samples >= n else vertices.orderBy(F.xxhash64(F.lit(42), "id")).limit(samples)
+    parts = -(-min(samples or n, n) * n // HELD)
+    if parts <= 1:
+        return [sources]
+    sources = settle(sources.withColumn("part", F.pmod(F.xxhash64(F.lit(43), "id"), F.lit(parts))))
+    return [sources.filter(F.col("part") == p).select("id") for p in range(parts)]
+
+
 def betweenness(vertices: DataFrame, edges: DataFrame, settle: Settle, samples: int = 0) -> DataFrame:
     """(nodeId, score): Brandes over both directions, halved; reciprocal edges are two ways. With ``samples``, from so
-    many sources (by a seeded hash) and scaled up."""
+    many sources (by a seeded hash) and scaled up. Sources are searched in batches."""
     pairs, n = settle(both_ways(edges)), vertices.count()
-    sources = vertices if not samples or samples >= n else vertices.orderBy(F.xxhash64(F.lit(42), "id")).limit(samples)
-    scale = 0.5 if sources is vertices else 0.5 * n / samples
-    levels = distances(sources, pairs, settle)
-    total, delta = None, None
-    for far, near in zip(reversed(levels), reversed(levels[:-1]), strict=False):
-        below = far.select("s", F.col("v").alias("w"), F.col("sigma").alias("sw"))
-        below = below.join(delta, ["s", "w"], "left") if delta is not None else below.withColumn("d", F.lit(0.0))
-        step = near.join(pairs, near["v"] == pairs["a"]).withColumnRenamed("b", "w").join(below, ["s", "w"])
-        step = settle(step.groupBy("s", "v").agg(F.sum(F.col("sigma") * F.col("m") / F.col("sw") * (1 + F.coalesce("d", F.lit(0.0)))).alias("d")))
-        delta = step.select("s", F.col("v").alias("w"), "d")
-        part = step.filter("s <> v").select(F.col("v").alias("id"), "d")
-        total = part if total is None else total.unionByName(part)
+    scale = 0.5 * n / samples if samples and samples < n else 0.5
+    total = None
+    for sources in batches(vertices, n, samples, settle):
+        levels, delta, batch = distances(sources, pairs, settle), None, None
+        for far, near in zip(reversed(levels), reversed(levels[:-1]), strict=False):
+            below = far.select("s", F.col("v").alias("w"), F.col("sigma").alias("sw"))
+            below = below.join(delta, ["s", "w"], "left") if delta is not None else below.withColumn("d", F.lit(0.0))
+            step = near.join(pairs, near["v"] == pairs["a"]).withColumnRenamed("b", "w").join(below, ["s", "w"])
+            step = settle(step.groupBy("s", "v").agg(F.sum(F.col("sigma") * F.col("m") / F.col("sw") * (1 + F.coalesce("d", F.lit(0.0)))).alias("d")))
+            delta = step.select("s", F.col("v").alias("w"), "d")
+            part = step.filter("s <> v").groupBy(F.col("v").alias("id")).agg(F.sum("d").alias("d"))
+            batch = part if batch is None else batch.unionByName(part)
+        if batch is not None:
+            batch = settle(batch.groupBy("id").agg(F.sum("d").alias("d")))
+            total = batch if total is None else total.unionByName(batch)
     if total is None:
         return vertices.select(F.col("id").alias("nodeId"), F.lit(0.0).alias("score"))
     scores = total.groupBy("id").agg((F.sum("d") * scale).alias("score"))
     return vertices.join(scores, "id", "left").select(F.col("id").alias("nodeId"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def closeness(vertices: DataFrame, edges: DataFrame, settle: Settle) -> DataFrame:
-    """(nodeId, score): reachable nodes over the sum of their distances, undirected; 0 for isolated nodes."""
-    sums = None
-    for d, level in enumerate(distances(vertices, settle(both_ways(edges)), settle)):
-        part = level.groupBy("s").agg(F.count(F.lit(1)).alias("n")).select("s", "n", F.lit(d).alias("d"))
-        sums = part if sums is None else sums.unionByName(part)
-    got = sums.filter("d > 0").groupBy("s").agg((F.sum("n") / F.sum(F.col("n") * F.col("d"))).alias("score"))
+def closeness(vertices: DataFrame, edges: DataFrame, settle: Settle, samples: int = 0) -> DataFrame:
+    """(nodeId, score): reachable nodes over the sum of their distances, undirected; 0 for isolated nodes.
+
+    Sources are searched in batches. With ``samples`` the searches start from so many nodes (by a seeded hash), and a
+    node's score is estimated from its distances to those of them that reach it."""
+    pairs, n = settle(both_ways(edges)), vertices.count()
+    who, sums = "v" if samples and samples < n else "s", None
+    for sources in batches(vertices, n, samples, settle):
+        got = None
+        for d, level in enumerate(distances(sources, pairs, settle)):
+            part = level.groupBy(F.col(who).alias("s")).agg(F.count(F.lit(1)).alias("n")).select("s", "n", F.lit(d).alias("d"))
+            got = part if got is None else got.unionByName(part)
+        got = settle(got.filter("d > 0").groupBy("s").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("d")).alias("sum")))
+        sums = got if sums is None else sums.unionByName(got)
+    got = sums.groupBy("s").agg((F.sum("n") / F.sum("sum")).alias("score"))
     return vertices.join(got, vertices["id"] == got["s"], "left").select(F.col("id").alias("nodeId"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def dijkstra(edges: DataFrame, source: int, target: int, settle: Settle) -> DataFrame:
     """(nodeId, cost, totalCost, step) along a cheapest directed path, by relaxing frontiers until nothing gets cheaper.
-    Ties go to the path of least nodes; no path gives no row."""
+    What costs no less than a known way to the target goes no further. Ties go to the path of least nodes; no path
+    gives no row."""
     spark = edges.sparkSession
     best = settle(spark.createDataFrame([(source, 0.0, [source], [0.0])], "v long, cost double, path array<bigint>, costs array<double>"))
-    front = best
-    while True:
+    front, reached = best, best
+    while source != target:
         step = front.join(edges, front["v"] == edges["src"]).select(F.col("dst").alias("v"), (F.col("cost") + F.col("weight")).alias("cost"), F.concat("path", F.array("dst")).alias("path"), F.concat("costs", F.array(F.col("cost") + F.col("weight"))).alias("costs"))
         step = step.groupBy("v").agg(F.min(F.struct("cost", "path", "costs")).alias("m")).select("v", "m.cost", "m.path", "m.costs")
-        old = best.select("v", F.col("cost").alias("old"))
-        front = settle(step.join(old, "v", "left").filter("old IS NULL OR cost < old").drop("old"))
+        old = best.select("v", F.col("cost").alias("old"), F.col("path").alias("way"))
+        front = settle(step.join(old, "v", "left").filter("old IS NULL OR cost < old OR cost = old AND path < way").drop("old", "way"))
         if front.isEmpty():
             break
         best = settle(best.unionByName(front).groupBy("v").agg(F.min(F.struct("cost", "path", "costs")).alias("m")).select("v", "m.cost", "m.path", "m.costs"))
+        reached = best.filter(F.col("v") == target)
+        bound = reached.agg(F.min("cost")).head()[0]
+        front = front.filter((F.col("v") != target) & (F.lit(True) if bound is None else F.col("cost") <= bound))
     return best.filter(F.col("v") == target).select(F.posexplode(F.arrays_zip("path", "costs")).alias("step", "x"), F.col("cost").alias("totalCost")).select(
         F.col("x.path").alias("nodeId"), F.col("x.costs").alias("cost"), "totalCost", "step")
 
 
-def bfs(edges: DataFrame, source: int, settle: Settle, max_depth: int = 50) -> DataFrame:
-    """(nodeId, depth, path): a shortest undirected path, of least nodes, to all that is within max_depth."""
-    ways = settle(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct())
+def undirected(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
+
+
+def bfs(edges: DataFrame, source: int, settle: Settle, max_depth: int | None = None, target: int | None = None) -> DataFrame:
+    """(nodeId, depth, path): a shortest undirected path, of least nodes, to all that is within max_depth, if one is
+    given. The search ends at the level where it meets ``target``."""
+    ways = settle(undirected(edges))
     seen = settle(edges.sparkSession.createDataFrame([(source, 0, [source])], "nodeId long, depth int, path array<bigint>"))
-    front = seen
-    for d in range(1, max_depth + 1):
+    front, d = seen, 0
+    while source != target and (max_depth is None or d < max_depth):
+        d += 1
         nxt = front.join(ways, front["nodeId"] == ways["a"]).select(F.col("b").alias("nodeId"), F.concat("path", F.array("b")).alias("path"))
         nxt = nxt.join(seen.select("nodeId"), "nodeId", "left_anti").groupBy("nodeId").agg(F.min("path").alias("path"))
         front = settle(nxt.select("nodeId", F.lit(d).alias("depth"), "path"))
         if front.isEmpty():
             break
         seen = settle(seen.unionByName(front))
+        if target is not None and not front.filter(F.col("nodeId") == target).isEmpty():
+            break
     return seen
 
 
+def all_paths(edges: DataFrame, source: int, target: int, settle: Settle, max_depth: int) -> DataFrame:
+    """(path, length): every directed path of at most max_depth hops between two nodes that meets no node twice."""
+    ways = settle(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
+    front = settle(edges.sparkSession.createDataFrame([(source, [source])], "at long, path array<bigint>"))
+    found = front.filter(F.col("at") == target)
+    front = front.filter(F.col("at") != target)
+    for _ in range(max_depth):
+        front = front.join(ways, front["at"] == ways["a"]).filter(~F.array_contains("path", F.col("b")))
+        front = settle(front.select(F.col("b").alias("at"), F.concat("path", F.array("b")).alias("path")))
+        if front.isEmpty():
+            break
+        found = found.unionByName(front.filter(F.col("at") == target))
+        front = front.filter(F.col("at") != target)
+    return found.select("path", (F.size("path") - 1).cast("long").alias("length"))
+
+
 def nearest(nodes: DataFrame, prop: str, query: list[float], k: int, metric: str) -> DataFrame:
     """(node, score): the k nearest nodes, exactly. Scores are distances: squared L2, minus the inner product, or 1 - cos."""
     v = F.transform(F.col(prop), lambda x: x.cast("double"))

@@ -9,13 +9,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import AGGREGATES, FUNCTIONS, duration
-from ..sources.graph import PropertyGraph, load_csv
+from ..sources.graph import EID, PropertyGraph, load_csv
 from .parser import QueryError, children, names
 
 _fresh = itertools.count()
-MAX_HOPS = 50
+#: Columns of a bound relationship besides its properties.
+REL = ("src", "dst", "type", "eid")
+#: Values of different kinds compare by the order of their kinds.
+KINDS = ("bool", "number", "string", "list", "map")
+Local = dict[str, tuple[Column, T.DataType]]
 
 
 def fresh(stem: str) -> str:
@@ -24,15 +29,20 @@ def fresh(stem: str) -> str:
 
 @dataclass
 class Entity:
-    """A variable: kind node, rel, path or value, and its columns by role."""
+    """A variable: kind node, rel, path or value, and its columns by role; of a node also the one table it is from."""
 
     kind: str
     cols: dict[str, str]
     props: dict[str, str] = field(default_factory=dict)
+    table: str | None = None
 
     @property
     def key(self) -> list[str]:
-        return {"node": ["id"], "rel": ["src", "dst", "type"], "path": ["nodes", "rels"], "value": ["v"]}[self.kind]
+        return {"node": ["id"], "rel": list(REL), "path": ["nodes", "rels"], "value": ["v"]}[self.kind]
+
+    def identity(self) -> list[str]:
+        """Columns that tell its values apart: properties follow from a node's id, not from a relationship's ends."""
+        return [self.cols[k] for k in self.key] + (list(self.props.values()) if self.kind == "rel" else [])
 
     def columns(self) -> list[str]:
         return [*self.cols.values(), *self.props.values()]
@@ -57,14 +67,75 @@ def _same(pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(x).eqNullSafe(F.col(y)) for x, y in pairs), F.lit(True))
 
 
+def conjuncts(e) -> list:
+    return [*conjuncts(e[2]), *conjuncts(e[3])] if e[:2] == ("bin", "AND") else [e]
+
+
+def is_duration(t: T.DataType) -> bool:
+    return isinstance(t, T.StructType) and t.fieldNames() == ["months", "days", "nanos"]
+
+
+def kind_of(t: T.DataType) -> str:
+    if isinstance(t, T.BooleanType):
+        return "bool"
+    if isinstance(t, T.NumericType):
+        return "number"
+    if isinstance(t, T.StringType):
+        return "string"
+    if isinstance(t, T.ArrayType):
+        return "list"
+    if is_duration(t):
+        return "duration"
+    if isinstance(t, (T.StructType, T.MapType)):
+        return "map"
+    return "mixed" if isinstance(t, T.VariantType) else "null" if isinstance(t, T.NullType) else "time"
+
+
+def span(d: Column) -> Column:
+    """What durations are ordered by: a month is 30 days."""
+    return F.struct((d["months"] * 30 + d["days"]).alias("days"), d["nanos"].alias("nanos"))
+
+
+def mixed(c: Column, t: T.DataType) -> Column:
+    """A value of any type as an element of a list of several types."""
+    if kind_of(t) in ("mixed", "null"):
+        return c if kind_of(t) == "mixed" else F.lit(None).cast("variant")
+    return F.to_variant_object(c) if kind_of(t) in ("map", "list", "duration") else c.cast("variant")
+
+
+_NUMBER = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
+
+
+def same_mixed(v: Column, c: Column, t: T.DataType) -> Column:
+    """Whether an element of a list of several types is equal to a value."""
+    kind, shape = kind_of(t), F.schema_of_variant(v)
+    if kind == "mixed":
+        return F.to_json(v) == F.to_json(c)
+    fits = F.rlike(shape, F.lit(_NUMBER)) if kind == "number" else shape == {"bool": "BOOLEAN", "string": "STRING"}.get(kind, "")
+    got = F.try_variant_get(v, "$", "double" if kind == "number" else t.simpleString()) if kind in KINDS[:3] else F.lit(None)
+    return F.when(v.isNotNull() & c.isNotNull(), F.coalesce(fits & (got == c), F.lit(False))) if kind in KINDS[:3] else F.lit(False)
+
+
 def has_aggregate(e) -> bool:
     return any(x[0] == "fn" and len(x) == 4 and x[1] in AGGREGATES for x in children(e))
 
 
+def _literal(v) -> tuple:
+    """A parameter's value as an expression."""
+    if isinstance(v, (list, tuple)):
+        return ("list", [_literal(x) for x in v])
+    return ("map", [(str(k), _literal(x)) for k, x in v.items()]) if isinstance(v, dict) else ("lit", v)
+
+
 class Compiler:
     def __init__(self, engine, params: dict):
         self.engine, self.params = engine, params
         self.spark = engine.spark
+        self._types: dict[tuple, tuple] = {}
+
+    @property
+    def max_hops(self) -> int:
+        return int(self.engine.config["query.max_hops"])
 
     @property
     def graph(self) -> PropertyGraph:
@@ -118,24 +189,66 @@ class Compiler:
         return self.where(out, c["where"])
 
     def where(self, frame: Frame, e) -> Frame:
-        if e is not None:
-            cond = self.expr(e, frame)
-            frame.df = frame.df.filter(cond.cast("boolean"))
+        """Filters first; conditions that a pattern exists, or doesn't, are semi and anti joins."""
+        found = []
+        for x in conjuncts(e) if e is not None else ():
+            y = x[2] if x[:2] == ("un", "NOT") else x
+            if y[0] == "exists" and (y[1]["var"] is not None or y[1]["rels"]):
+                found.append((y, "left_semi" if y is x else "left_anti"))
+            else:
+                frame.df = frame.df.filter(self.expr(x, frame).cast("boolean"))
+        for y, how in found:
+            frame.df = self.semi(frame, y[1], y[2], how)
         return frame
 
-    def correlated(self, frame: Frame, patterns: list, where, keep: set[str] = frozenset(), extra=None) -> tuple[Frame, list[str]]:
-        """A frame of the distinct outer values that patterns and where read, matched on; and its outer columns."""
+    def semi(self, frame: Frame, p: dict, where, how: str) -> DataFrame:
+        nodes, rels = p["nodes"], p["rels"]
+        flip = {"out": "in", "in": "out", "both": "both"}
+        ways = [r["dir"] for r in rels]
+        if nodes[0]["var"] not in frame.scope:
+            nodes, rels, ways = nodes[::-1], rels[::-1], [flip[w] for w in ways[::-1]]
+        at = frame.scope.get(nodes[0]["var"])
+        alone = at is not None and at.kind == "node" and not nodes[0]["labels"] and not nodes[0]["props"] and rels and rels[0]["hi"] is None
+        if not alone or p["fn"] or names([nodes[1:], rels, where, {"nodes": nodes[1:], "rels": rels}]) & set(frame.scope):
+            sub, keys = self.correlated(frame, [p], where)
+            alias = [(k, fresh("key")) for k in keys]
+            right = sub.df.select(*(F.col(k).alias(a) for k, a in alias))
+            return frame.df.join(right, _same(alias), how)
+        # The pattern reads one outer node only, so it is matched once, from its first relationship on.
+        vars_ = [n["var"] or fresh("anon") for n in nodes]
+        sub, key = self.first_hop(rels[0], ways[0], nodes[1], vars_[1])
+        for i in range(1, len(rels)):
+            sub, _ = self.expand(sub, vars_[i], rels[i], ways[i], nodes[i + 1], vars_[i + 1], True)
+        right = self.where(sub, where).df.select(F.col(key))
+        return frame.df.join(right, F.col(at.cols["id"]) == F.col(key), how)
+
+    def first_hop(self, rel: dict, way: str, n: dict, b: str) -> tuple[Frame, str]:
+        """All matches of a hop, and the column with the id of the node it starts from."""
+        key = fresh("key")
+        far = self.keyed_far(rel, way, n, b)
+        if far is not None:
+            far, other = far
+            df = far.df.withColumn(key, other)
+            return self.inline(Frame(df, dict(far.scope)), b, {k: v for k, v in n["props"].items() if names(v)}), key
+        right, to, e = self.hop(rel, way, key)
+        scope = {rel["var"]: e} if rel["var"] else {}
+        return self.arrive(Frame(right, scope), to, rel, way, n, b), key
+
+    def correlated(self, frame: Frame, patterns: list, where, keep: set[str] = frozenset(), extra=None, whole: bool = False) -> tuple[Frame, list[str]]:
+        """A frame of the distinct outer values that patterns and where read, matched on; and the outer columns that
+        tell them apart (all their columns, if ``whole``)."""
         read = (names([patterns, where, extra]) | keep) & set(frame.scope)
         props = {(x[1][1], x[2]) for x in children([patterns, where, extra]) if x[0] == "prop" and x[1][0] == "var"}
-        whole = {x[1] for x in children([extra]) if x[0] == "var"}
-        scope, keys = {}, list(frame.outer)
+        packed = {x[1] for x in children([extra]) if x[0] == "var"}
+        scope, keys, columns = {}, list(frame.outer), list(frame.outer)
         for v in sorted(read):
             e = frame.scope[v]
-            got = {p: c for p, c in e.props.items() if (v, p) in props or v in keep or v in whole}
-            scope[v] = Entity(e.kind, dict(e.cols), got)
-            keys += scope[v].columns()
-        keys = list(dict.fromkeys(keys))
-        base = frame.df.select(*keys).distinct() if keys else self.unit().df
+            got = {p: c for p, c in e.props.items() if e.kind == "rel" or (v, p) in props or v in keep or v in packed}
+            scope[v] = Entity(e.kind, dict(e.cols), got, e.table)
+            keys += scope[v].columns() if whole else scope[v].identity()
+            columns += scope[v].columns()
+        keys, columns = list(dict.fromkeys(keys)), list(dict.fromkeys(columns))
+        base = frame.df.select(*columns).dropDuplicates(keys) if keys else self.unit().df
         sub = Frame(base, scope, not keys)
         for p in patterns:
             sub = self.pattern(sub, p)
@@ -143,7 +256,7 @@ class Compiler:
 
     def scan(self, frame: Frame, n: dict, var: str) -> Frame:
         df, props = self.graph.scan(n["labels"])
-        e = Entity("node", {"id": fresh("id"), "labels": fresh("labels")}, {p: fresh(p) for p in props})
+        e = Entity("node", {"id": fresh("id"), "labels": fresh("labels")}, {p: fresh(p) for p in props}, self.graph.only_table(n["labels"]))
         df = df.select(F.col("id").alias(e.cols["id"]), F.col("labels").alias(e.cols["labels"]), *(F.col(f"`{p}`").alias(c) for p, c in e.props.items()))
         only = Frame(df, {var: e})
         for k, v in n["props"].items():
@@ -195,9 +308,9 @@ class Compiler:
         return self.inline(frame, var, n["props"])
 
     def edges(self, rel: dict, way: str) -> tuple[DataFrame, list[str]]:
-        """(from, to, src, dst, type, properties) in the direction of travel."""
+        """(from, to, src, dst, type, eid, properties) in the direction of travel."""
         df, props = self.graph.edges(rel["types"])
-        keep = ["src", "dst", "type", *(f"`{p}`" for p in props)]
+        keep = ["src", "dst", "type", F.col(EID).alias("eid"), *(F.col(f"`{p}`") for p in props)]
         ahead = df.select(F.col("src").alias("__from"), F.col("dst").alias("__to"), *keep)
         back = df.select(F.col("dst").alias("__from"), F.col("src").alias("__to"), *keep)
         for k, v in rel["props"].items():
@@ -206,18 +319,47 @@ class Compiler:
         out = ahead if way == "out" else back if way == "in" else ahead.unionByName(back.filter("src <> dst"))
         return out, props
 
-    def expand(self, frame: Frame, a: str, rel: dict, way: str, n: dict, b: str, forward: bool) -> tuple[Frame, tuple]:
+    def hop(self, rel: dict, way: str, key: str) -> tuple[DataFrame, str, Entity]:
+        """Relationships as columns: where they start (``key``), where they lead, and the bound relationship."""
         df, props = self.edges(rel, way)
-        at = frame.scope[a].cols["id"]
         to = fresh("to")
-        link = F.struct(F.col("type"), F.col("src"), F.col("dst"))
+        e = Entity("rel", {k: fresh(k) for k in REL}, {p: fresh(p) for p in props})
+        return df.select(F.col("__from").alias(key), F.col("__to").alias(to), *(F.col(k).alias(v) for k, v in e.cols.items()), *(F.col(f"`{k}`").alias(v) for k, v in e.props.items())), to, e
+
+    def foreign_key(self, rel: dict):
+        """The node column that a one-type hop without properties is, if it is one."""
+        if len(rel["types"]) != 1 or rel["hi"] is not None or rel["props"] or rel["types"][0] not in self.graph.rels:
+            return None
+        key = self.graph.rels[rel["types"][0]].key
+        return key if key and self.graph.only_table([key.label]) == key.label else None
+
+    def keyed_far(self, rel: dict, way: str, n: dict, b: str) -> tuple[Frame, Column] | None:
+        """Where the far node's own table has the hop as a column: its rows, and the id of the near end."""
+        key = self.foreign_key(rel)
+        if key is None or way == "both" or key.end != (1 if way == "out" else 0) or rel["var"] or set(n["labels"]) - {key.label}:
+            return None
+        far = self.scan(Frame(self.unit().df, {}, True), {"labels": [key.label], "props": {k: v for k, v in n["props"].items() if not names(v)}}, b)
+        e = far.scope[b]
+        return far, key.other({p: F.col(e.props[p]) for p in key.reads})
+
+    def near_key(self, e: Entity, rel: dict, way: str) -> Column | None:
+        """Where the near node's own table has the hop as a column: the id of the far end."""
+        key = self.foreign_key(rel)
+        if key is None or way == "both" or key.end != (0 if way == "out" else 1) or e.table != key.label or not set(key.reads) <= set(e.props):
+            return None
+        return key.other({p: F.col(e.props[p]) for p in key.reads})
+
+    def expand(self, frame: Frame, a: str, rel: dict, way: str, n: dict, b: str, forward: bool) -> tuple[Frame, tuple]:
+        at = frame.scope[a].cols["id"]
         scope = dict(frame.scope)
         if rel["hi"] is not None:
+            df, to = self.edges(rel, way)[0], fresh("to")
+            link = F.struct(F.col("type"), F.col("src"), F.col("dst"))
             path, links = fresh("walk"), fresh("links")
             one = df.select(F.col("__from"), F.col("__to"), link.alias("__link"))
             cur = frame.df.withColumns({path: F.array(F.col(at)), links: F.array().cast("array<struct<type:string,src:bigint,dst:bigint>>")})
             parts = [cur] if rel["lo"] == 0 else []
-            for hop in range(1, min(rel["hi"], MAX_HOPS) + 1):
+            for hop in range(1, min(rel["hi"], self.max_hops) + 1):
                 # A node once on a path; hops unrolled, so each is a plain join.
                 cur = cur.join(one, F.element_at(F.col(path), -1) == F.col("__from")).filter(~F.array_contains(F.col(path), F.col("__to")))
                 cur = cur.withColumns({path: F.concat(F.col(path), F.array("__to")), links: F.concat(F.col(links), F.array("__link"))}).drop("__from", "__to", "__link")
@@ -233,19 +375,47 @@ class Compiler:
             hop = rest, F.col(links) if forward else F.reverse(F.col(links))
             if rel["var"]:
                 scope[rel["var"]] = Entity("value", {"v": links})
-        else:
-            e = Entity("rel", {k: fresh(k) for k in ("src", "dst", "type")}, {p: fresh(p) for p in props})
-            right = df.select(F.col("__from").alias(f"{to}f"), F.col("__to").alias(to), *(F.col(k).alias(v) for k, v in e.cols.items()), *(F.col(f"`{k}`").alias(v) for k, v in e.props.items()))
-            out = frame.df.join(right, F.col(at) == F.col(f"{to}f")).drop(f"{to}f")
-            if rel["var"] in frame.scope and rel["var"] is not None:
-                old = frame.scope[rel["var"]]
-                out = out.filter(_same([(e.cols[k], old.cols[k]) for k in e.key]))
-            elif rel["var"]:
+            return self.arrive(Frame(out, scope, False, frame.outer), to, rel, way, n, b), hop
+        far = self.keyed_far(rel, way, n, b) if b not in frame.scope else None
+        if far is not None:
+            far, other = far
+            to = far.scope[b].cols["id"]
+            out = Frame(frame.df.join(far.df, F.col(at) == other), scope | far.scope, False, frame.outer)
+            hop = self.step(rel, way, at, to, forward)
+            return self.inline(out, b, {k: v for k, v in n["props"].items() if names(v)}), hop
+        other = self.near_key(frame.scope[a], rel, way) if rel["var"] not in frame.scope else None
+        if other is not None:
+            to = fresh("to")
+            out = frame.df.withColumn(to, other).filter(F.col(to).isNotNull())
+            if rel["var"]:
+                src, dst = (at, to) if way == "out" else (to, at)
+                e = Entity("rel", {k: fresh(k) for k in REL})
+                out = out.withColumns({e.cols["src"]: F.col(src), e.cols["dst"]: F.col(dst), e.cols["type"]: F.lit(rel["types"][0]), e.cols["eid"]: F.lit(None).cast("long")})
                 scope[rel["var"]] = e
-            hop = F.array(F.col(to) if forward else F.col(at)), F.array(F.struct(*(F.col(e.cols[k]).alias(k) for k in ("type", "src", "dst"))))
+            return self.arrive(Frame(out, scope, False, frame.outer), to, rel, way, n, b), self.step(rel, way, at, to, forward)
+        key = fresh("key")
+        right, to, e = self.hop(rel, way, key)
+        out = frame.df.join(right, F.col(at) == F.col(key)).drop(key)
+        if rel["var"] in frame.scope and rel["var"] is not None:
+            old = frame.scope[rel["var"]]
+            out = out.filter(_same([(e.cols[k], old.cols[k]) for k in e.key] + [(c, old.props[p]) for p, c in e.props.items() if p in old.props]))
+        elif rel["var"]:
+            scope[rel["var"]] = e
+        hop = F.array(F.col(to) if forward else F.col(at)), F.array(F.struct(*(F.col(e.cols[k]).alias(k) for k in ("type", "src", "dst"))))
+        return self.arrive(Frame(out, scope, False, frame.outer), to, rel, way, n, b), hop
+
+    @staticmethod
+    def step(rel: dict, way: str, at: str, to: str, forward: bool) -> tuple[Column, Column]:
+        """What a hop over a node's column adds to a path."""
+        src, dst = (at, to) if way == "out" else (to, at)
+        return F.array(F.col(to if forward else at)), F.array(F.struct(F.lit(rel["types"][0]).alias("type"), F.col(src).alias("src"), F.col(dst).alias("dst")))
+
+    def arrive(self, frame: Frame, to: str, rel: dict, way: str, n: dict, b: str) -> Frame:
+        """Bind the far node of a hop, whose id is in column ``to``."""
+        out, scope = frame.df, frame.scope
         if b in frame.scope:
             out = out.filter(F.col(to) == F.col(frame.scope[b].cols["id"]))
-            return self.check(Frame(out, scope, False, frame.outer), n, b), hop
+            return self.check(Frame(out, scope, False, frame.outer), n, b)
         ends = {t.ends[0 if way == "in" else 1] for k, t in self.graph.rels.items() if not rel["types"] or k in rel["types"]}
         known = next(iter(ends)) if len(ends) == 1 and way != "both" and rel["hi"] is None else None
         if not n["props"] and b not in self.used and (not n["labels"] or n["labels"] == [known]):
@@ -253,12 +423,12 @@ class Compiler:
             labels = fresh("labels")
             out = out.withColumn(labels, F.array(F.lit(known)) if known else F.lit(None).cast("array<string>"))
             if known or not n["labels"]:
-                return Frame(out, scope | {b: Entity("node", {"id": to, "labels": labels})}, False, frame.outer), hop
+                return Frame(out, scope | {b: Entity("node", {"id": to, "labels": labels})}, False, frame.outer)
         far = self.scan(Frame(self.unit().df, {}, True), {"labels": n["labels"] or ([known] if known else []), "props": {k: v for k, v in n["props"].items() if not names(v)}}, b)
         e = far.scope[b]
         out = out.join(far.df, F.col(to) == F.col(e.cols["id"]))
         out = Frame(out, scope | {b: e}, False, frame.outer)
-        return self.inline(out, b, {k: v for k, v in n["props"].items() if names(v)}), hop
+        return self.inline(out, b, {k: v for k, v in n["props"].items() if names(v)})
 
     def shortest(self, frame: Frame, p: dict, vars_: list[str]) -> Frame:
         """Breadth-first from the bound start of every row: one shortest path (the least by nodes), or all of them."""
@@ -276,7 +446,7 @@ class Compiler:
         if lo == 0:
             found = cur.filter("s = t")
         seen = pairs.select("s", "t", F.col("s").alias("n"))
-        for _ in range(min(rel["hi"] or 1, MAX_HOPS)):
+        for _ in itertools.count() if rel["open"] else range(min(rel["hi"] or 1, self.max_hops)):
             nxt = cur.join(one, F.element_at("path", -1) == F.col("__from")).select("s", "t", F.concat("path", F.array("__to")).alias("path"), F.concat("links", F.array("__link")).alias("links"), F.col("__to").alias("n"))
             nxt = nxt.join(seen, ["s", "t", "n"], "left_anti")
             if p["fn"] == "shortestpath":
@@ -297,8 +467,7 @@ class Compiler:
     def do_unwind(self, frame: Frame, c: dict) -> Frame:
         e = Entity("value", {"v": fresh(c["var"])})
         value = self.expr(c["expr"], frame)
-        kind = frame.df.select(value.alias("x")).dtypes[0][1]
-        value = value if kind.startswith("array") else F.array(value)
+        value = value if kind_of(self.type(c["expr"], frame, {}, value)) == "list" else F.array(value)
         return Frame(frame.df.withColumn(e.cols["v"], F.explode(value)), frame.scope | {c["var"]: e}, False, frame.outer)
 
     def do_load(self, frame: Frame, c: dict) -> Frame:
@@ -378,7 +547,7 @@ class Compiler:
         for e, alias in items:
             old = frame.scope.get(e[1]) if e[0] == "var" else None
             if old is not None and old.kind in ("node", "rel", "path"):
-                scope[alias] = Entity(old.kind, {k: fresh(k) for k in old.cols}, {k: fresh(k) for k in old.props})
+                scope[alias] = Entity(old.kind, {k: fresh(k) for k in old.cols}, {k: fresh(k) for k in old.props}, old.table)
                 pairs = [*((old.cols[k], scope[alias].cols[k], k in old.key) for k in old.cols), *((old.props[k], scope[alias].props[k], False) for k in old.props)]
                 for a, b, key in pairs:
                     cols.append(F.col(a).alias(b))
@@ -394,15 +563,16 @@ class Compiler:
             if repr(e) in text:
                 e = ("var", text[repr(e)])
             order.append((e, asc, fresh("sort")))
+        key = lambda e, f: (lambda c: span(c) if is_duration(self.type(e, f, {}, c)) else c)(self.expr(e, f))
         if grouped:
             df = frame.df.groupBy(*by).agg(*aggs) if by else frame.df.agg(*aggs)
             out = Frame(df, scope, False, frame.outer)
             for e, _, name in order:
-                out.df = out.df.withColumn(name, self.expr(e, out))
+                out.df = out.df.withColumn(name, key(e, out))
         else:
             alias_frame = Frame(frame.df.select("*", *cols), frame.scope | scope, False, frame.outer)
             for e, _, name in order:
-                alias_frame.df = alias_frame.df.withColumn(name, self.expr(e, alias_frame))
+                alias_frame.df = alias_frame.df.withColumn(name, key(e, alias_frame))
             hidden = [name for *_, name in order]
             keep = list(dict.fromkeys([*frame.outer, *(x for e in scope.values() for x in e.columns()), *hidden]))
             out = Frame(alias_frame.df.select(*keep), scope, False, frame.outer)
@@ -423,24 +593,37 @@ class Compiler:
         return out
 
     # -- expressions -----------------------------------------------------------------------------------------------
-    def kind(self, c: Column, frame: Frame, local: dict) -> str:
-        if local:
-            return ""
-        return frame.df.select(c.alias("x")).dtypes[0][1]
-
-    def expr(self, e: tuple, frame: Frame, local: dict[str, Column] | None = None) -> Column:
+    def type(self, e: tuple, frame: Frame, local: Local, c: Column | None = None) -> T.DataType:
+        """The type of an expression; ``c`` is its Column, where it is at hand. Inside a lambda nulls of the variables'
+        types stand for them."""
+        if e[0] == "lit":
+            v = e[1]
+            return T.NullType() if v is None else T.BooleanType() if isinstance(v, bool) else T.LongType() if isinstance(v, int) else T.DoubleType() if isinstance(v, float) else T.StringType()
+        if e[0] == "var" and e[1] in local:
+            return local[e[1]][1]
+        if e[0] == "prop" and e[1][0] == "var" and e[1][1] not in local and e[1][1] in frame.scope and e[2] in frame.scope[e[1][1]].props:
+            return frame.df.schema[frame.scope[e[1][1]].props[e[2]]].dataType
+        key = (repr(e), id(frame.df), tuple(sorted((v, t.simpleString()) for v, (_, t) in local.items())))
+        if key not in self._types:
+            if local:
+                c = self.expr(e, frame, {v: (F.lit(None).cast(t), t) for v, (_, t) in local.items()})
+            elif c is None:
+                c = self.expr(e, frame)
+            self._types[key] = frame.df.select(c.alias("x")).schema[0].dataType, frame.df
+        return self._types[key][0]
+
+    def expr(self, e: tuple, frame: Frame, local: Local | None = None) -> Column:
         return getattr(self, "e_" + e[0])(e, frame, local or {})
 
     def e_lit(self, e, frame, local) -> Column:
-        return F.lit(e[1])
+        return F.lit(e[1]).cast("long") if isinstance(e[1], int) and not isinstance(e[1], bool) else F.lit(e[1])
 
     def e_param(self, e, frame, local) -> Column:
-        v = self.param(e[1])
-        return F.array(*map(F.lit, v)) if isinstance(v, (list, tuple)) else F.create_map(*(F.lit(x) for kv in v.items() for x in kv)) if isinstance(v, dict) else F.lit(v)
+        return self.expr(_literal(self.param(e[1])), frame, local)
 
     def e_var(self, e, frame, local) -> Column:
         if e[1] in local:
-            return local[e[1]]
+            return local[e[1]][0]
         if e[1] not in frame.scope:
             raise QueryError(f"{e[1]} is not defined")
         return frame.scope[e[1]].packed()
@@ -451,13 +634,29 @@ class Compiler:
             x = frame.scope[base[1]]
             return F.col(x.props[name]) if name in x.props else F.lit(None)
         c = self.expr(base, frame, local)
-        kind = self.kind(c, frame, local)
-        if kind in ("date", "timestamp", "timestamp_ntz"):
+        t = self.type(base, frame, local, c)
+        if kind_of(t) == "time":
             return {"year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour, "minute": F.minute, "second": F.second}[name](c).cast("long")
-        return c[name] if not kind.startswith("map") else F.element_at(c, name)
+        if isinstance(t, T.StructType):
+            return c[name] if name in t.fieldNames() else F.lit(None)
+        if isinstance(t, T.MapType):
+            return F.element_at(c, name)
+        return F.try_variant_get(c, f"$.{name}", "variant") if kind_of(t) == "mixed" else F.lit(None)
+
+    def alike(self, items: list[tuple], frame: Frame, local: Local) -> list[Column]:
+        """Values as Columns of one type: maps get each other's keys, and values of several kinds are mixed ones."""
+        if items and all(x[0] == "map" and x[1] for x in items):
+            keys = list(dict.fromkeys(k for x in items for k, _ in x[1]))
+            by = {k: self.alike([dict(x[1]).get(k, ("lit", None)) for x in items], frame, local) for k in keys}
+            return [F.struct(*(by[k][i].alias(k) for k in keys)) for i in range(len(items))]
+        cols = [self.expr(x, frame, local) for x in items]
+        types = [self.type(x, frame, local, c) for x, c in zip(items, cols, strict=True)]
+        if len({kind_of(t) for t in types} - {"null"}) > 1 or any(kind_of(t) == "mixed" for t in types):
+            return [mixed(c, t) for c, t in zip(cols, types, strict=True)]
+        return cols
 
     def e_list(self, e, frame, local) -> Column:
-        return F.array(*(self.expr(x, frame, local) for x in e[1]))
+        return F.array(*self.alike(e[1], frame, local))
 
     def e_map(self, e, frame, local) -> Column:
         return F.struct(*(self.expr(v, frame, local).alias(k) for k, v in e[1])) if e[1] else F.create_map().cast("map<string,string>")
@@ -489,20 +688,26 @@ class Compiler:
         op, (ea, eb) = e[1], e[2:]
         if op in ("=", "<>") and all(x[0] == "var" and x[1] in frame.scope and frame.scope[x[1]].kind == "node" for x in (ea, eb)):
             a, b = (F.col(frame.scope[x[1]].cols["id"]) for x in (ea, eb))
-        else:
-            a, b = self.expr(ea, frame, local), self.expr(eb, frame, local)
+            return a == b if op == "=" else a != b
+        a, b = self.expr(ea, frame, local), self.expr(eb, frame, local)
         if op in ("AND", "OR", "XOR"):
             a, b = a.cast("boolean"), b.cast("boolean")
             return a & b if op == "AND" else a | b if op == "OR" else a != b
+        types = lambda: (self.type(ea, frame, local, a), self.type(eb, frame, local, b))
+        if op in ("=", "<>", "<", "<=", ">", ">="):
+            return self.compare(op, a, b, *types())
+        if op == "IN":
+            return self.contained(ea, a, b, *types())
         simple = {
-            "=": lambda: a == b, "<>": lambda: a != b, "<": lambda: a < b, "<=": lambda: a <= b, ">": lambda: a > b, ">=": lambda: a >= b,
-            "-": lambda: self.minus(a, b, frame, local), "*": lambda: a * b, "/": lambda: a / b, "%": lambda: a % b, "^": lambda: F.pow(a, b), "=~": lambda: F.rlike(a, F.concat(F.lit("^(?:"), b, F.lit(")$"))),
+            "*": lambda: a * b, "/": lambda: a / b, "%": lambda: a % b, "^": lambda: F.pow(a, b), "=~": lambda: F.rlike(a, F.concat(F.lit("^(?:"), b, F.lit(")\\z"))),
             "STARTS": lambda: F.startswith(a, b), "ENDS": lambda: F.endswith(a, b), "CONTAINS": lambda: F.contains(a, b),
-            "IN": lambda: F.coalesce(F.array_contains(F.filter(b, lambda x: x.isNotNull()), a), F.lit(False)) if ea != ("lit", None) else F.lit(False),
         }
         if op in simple:
             return simple[op]()
-        ka, kb = self.kind(a, frame, local), self.kind(b, frame, local)
+        ta, tb = types()
+        ka, kb = ta.simpleString(), tb.simpleString()
+        if op == "-":
+            return self.minus(a, b, ka, kb)
         if "string" in (ka, kb):
             return F.concat(a.cast("string"), b.cast("string"))
         if ka.startswith("array") or kb.startswith("array"):
@@ -510,12 +715,38 @@ class Compiler:
         for x, y, k in ((a, b, ka), (b, a, kb)):
             if k in ("date", "timestamp_ntz"):
                 return self.shift(x, k, y, 1)
-        if ka.startswith("struct<months") and kb == ka:
+        if is_duration(ta) and is_duration(tb):
             return F.struct(*((a[p] + b[p]).alias(p) for p in ("months", "days", "nanos")))
         return a + b
 
-    def minus(self, a, b, frame, local) -> Column:
-        ka, kb = self.kind(a, frame, local), self.kind(b, frame, local)
+    @staticmethod
+    def compare(op: str, a: Column, b: Column, ta: T.DataType, tb: T.DataType) -> Column:
+        """Values of different kinds are unequal, and ordered by their kinds; null with anything is null."""
+        ka, kb = kind_of(ta), kind_of(tb)
+        if "mixed" in (ka, kb):
+            eq = same_mixed(a, b, tb) if ka == "mixed" else same_mixed(b, a, ta)
+            if op not in ("=", "<>"):
+                raise QueryError("values of a list of several types have no order")
+            return eq if op == "=" else ~eq
+        if ka != kb and ka in KINDS and kb in KINDS:
+            less = KINDS.index(ka) < KINDS.index(kb)
+            return F.when(a.isNotNull() & b.isNotNull(), F.lit({"=": False, "<>": True, "<": less, "<=": less, ">": not less, ">=": not less}[op]))
+        if ka == kb == "duration" and op not in ("=", "<>"):
+            a, b = span(a), span(b)
+        return {"=": lambda: a == b, "<>": lambda: a != b, "<": lambda: a < b, "<=": lambda: a <= b, ">": lambda: a > b, ">=": lambda: a >= b}[op]()
+
+    @staticmethod
+    def contained(ea: tuple, a: Column, b: Column, ta: T.DataType, tb: T.DataType) -> Column:
+        if ea == ("lit", None):
+            return F.lit(False)
+        item = tb.elementType if isinstance(tb, T.ArrayType) else T.NullType()
+        if "mixed" in (kind_of(item), kind_of(ta)):
+            return F.coalesce(F.exists(b, lambda x: same_mixed(x, a, ta) if kind_of(item) == "mixed" else same_mixed(a, x, item)), F.lit(False))
+        if kind_of(item) != kind_of(ta) and kind_of(item) in KINDS and kind_of(ta) in KINDS:
+            return F.when(b.isNotNull(), F.lit(False))
+        return F.coalesce(F.array_contains(F.filter(b, lambda x: x.isNotNull()), a), F.lit(False))
+
+    def minus(self, a: Column, b: Column, ka: str, kb: str) -> Column:
         if ka in ("date", "timestamp_ntz") and kb.startswith("struct"):
             return self.shift(a, ka, b, -1)
         part = lambda m, d, n: F.struct(*(x.cast("long").alias(k) for k, x in (("months", m), ("days", d), ("nanos", n))))
@@ -550,10 +781,11 @@ class Compiler:
 
     def e_idx(self, e, frame, local) -> Column:
         c, i = self.expr(e[1], frame, local), self.expr(e[2], frame, local)
-        if self.kind(c, frame, local).startswith("map"):
+        t = self.type(e[1], frame, local, c)
+        if isinstance(t, T.MapType):
             return F.element_at(c, i)
         if e[2][0] == "lit" and isinstance(e[2][1], str):
-            return c[e[2][1]]
+            return self.e_prop(("prop", e[1], e[2][1]), frame, local)
         return F.get(c, F.when(i < 0, F.size(c) + i).otherwise(i).cast("int"))
 
     def e_slice(self, e, frame, local) -> Column:
@@ -563,24 +795,35 @@ class Compiler:
         lo, hi = bound(e[2], F.lit(0)), bound(e[3], n)
         return F.slice(c, lo + 1, F.greatest(hi - lo, F.lit(0)))
 
+    def items(self, src: tuple, frame: Frame, local: Local) -> tuple[Column, T.DataType]:
+        """A list and the type of its elements."""
+        c = self.expr(src, frame, local)
+        t = self.type(src, frame, local, c)
+        return c, t.elementType if isinstance(t, T.ArrayType) else T.NullType()
+
     def e_comp(self, e, frame, local) -> Column:
         _, var, src, where, proj = e
-        c = self.expr(src, frame, local)
+        c, t = self.items(src, frame, local)
         if where is not None:
-            c = F.filter(c, lambda x: F.coalesce(self.expr(where, frame, local | {var: x}).cast("boolean"), F.lit(False)))
-        return F.transform(c, lambda x: self.expr(proj, frame, local | {var: x})) if proj is not None else c
+            c = F.filter(c, lambda x: F.coalesce(self.expr(where, frame, local | {var: (x, t)}).cast("boolean"), F.lit(False)))
+        return F.transform(c, lambda x: self.expr(proj, frame, local | {var: (x, t)})) if proj is not None else c
 
     def e_quant(self, e, frame, local) -> Column:
         _, kind, var, src, where = e
-        c = self.expr(src, frame, local)
-        ok = lambda x: F.coalesce(self.expr(where, frame, local | {var: x}).cast("boolean"), F.lit(False))
+        c, t = self.items(src, frame, local)
+        ok = lambda x: F.coalesce(self.expr(where, frame, local | {var: (x, t)}).cast("boolean"), F.lit(False))
         return {"all": lambda: F.forall(c, ok), "any": lambda: F.exists(c, ok), "none": lambda: ~F.exists(c, ok), "single": lambda: F.size(F.filter(c, ok)) == 1}[kind]()
 
     def e_reduce(self, e, frame, local) -> Column:
+        """A fold; its value starts as a whole number where the body makes one with a fraction of it, or text."""
         _, acc, init, var, src, body = e
-        c, first = self.expr(src, frame, local), self.expr(init, frame, local)
-        first = first.cast("long") if init[0] == "lit" and isinstance(init[1], int) and not isinstance(init[1], bool) else first
-        return F.aggregate(c, first, lambda a, x: self.expr(body, frame, local | {acc: a, var: x}))
+        (c, t), first = self.items(src, frame, local), self.expr(init, frame, local)
+        at = self.type(init, frame, local, first)
+        for _ in range(2):
+            made = self.type(body, frame, local | {acc: (first, at), var: (first, t)})
+            if kind_of(made) != "null":
+                at = made
+        return F.aggregate(c, first.cast(at), lambda a, x: self.expr(body, frame, local | {acc: (a, at), var: (x, t)}).cast(at))
 
     def attach(self, frame: Frame, sub: Frame, keys: list[str], value: Column, name: str) -> None:
         alias = [(k, fresh("key")) for k in keys]
@@ -621,13 +864,15 @@ class Compiler:
             if name == "count" and args[0][0] == "var" and args[0][1] in frame.scope and frame.scope[args[0][1]].kind == "node":
                 return AGGREGATES["count"](F.col(frame.scope[args[0][1]].cols["id"]), distinct)
             x, *more = (self.expr(a, frame, local) for a in args)
+            if name in ("min", "max") and is_duration(self.type(args[0], frame, local, x)):
+                return (F.min_by if name == "min" else F.max_by)(x, F.when(x.isNotNull(), span(x)))
             return AGGREGATES[name](x, distinct, *more)
         ent = frame.scope.get(args[0][1]) if args and args[0][0] == "var" and args[0][1] not in local else None
         if name in ("id", "labels", "type", "keys", "properties"):
             if ent is None or ent.kind not in ("node", "rel"):
                 raise QueryError(f"{name}() takes a node or relationship variable")
             if name == "id":
-                return F.col(ent.cols["id"]) if ent.kind == "node" else F.xxhash64(*(F.col(ent.cols[k]) for k in ent.key), *(F.col(c) for c in ent.props.values()))
+                return F.col(ent.cols["id"]) if ent.kind == "node" else F.coalesce(ent.cols["eid"], F.xxhash64(*(F.col(ent.cols[k]) for k in ("src", "dst", "type")), *(F.col(c) for c in ent.props.values())))
             if name == "keys":
                 return F.filter(F.array(*(F.when(F.col(c).isNotNull(), F.lit(p)) for p, c in ent.props.items())), lambda x: x.isNotNull())
             if name == "properties":
@@ -640,10 +885,12 @@ class Compiler:
             return c["nodes"] if name == "nodes" else c["rels"]
         if name in ("length", "size"):
             c = self.expr(args[0], frame, local)
-            kind = self.kind(c, frame, local)
-            if kind.startswith("struct<nodes"):
+            t = self.type(args[0], frame, local, c)
+            if isinstance(t, T.StructType) and t.fieldNames() == ["nodes", "rels"]:
                 return F.size(c["rels"]).cast("long")
-            return (F.size(c) if kind.startswith(("array", "map")) else F.length(c)).cast("long")
+            if kind_of(t) in ("map", "duration"):
+                return F.lit(None).cast("long")
+            return (F.size(c) if kind_of(t) == "list" else F.length(c)).cast("long")
         if name == "duration":
             if len(args) != 1:
                 raise QueryError("duration takes one argument")
@@ -655,12 +902,12 @@ class Compiler:
         if name == "datetime" and args and args[0][0] == "map":
             p = dict(args[0][1])
             part = lambda k, d: self.expr(p.get(k, ("lit", d)), frame, local)
-            day = F.make_date(part("year", 1970), part("month", 1), part("day", 1))
+            day = F.make_date(*(part(k, d).cast("int") for k, d in (("year", 1970), ("month", 1), ("day", 1))))
             ms = ((part("hour", 0) * 60 + part("minute", 0)) * 60 + part("second", 0)) * 1000 + part("millisecond", 0)
             return F.timestamp_add("MILLISECOND", ms.cast("long"), day.cast("timestamp_ntz"))
         if name == "date" and args and args[0][0] == "map":
             p = dict(args[0][1])
-            return F.make_date(*(self.expr(p.get(k, ("lit", 1)), frame, local) for k in ("year", "month", "day")))
+            return F.make_date(*(self.expr(p.get(k, ("lit", 1)), frame, local).cast("int") for k in ("year", "month", "day")))
         if name not in FUNCTIONS:
             raise QueryError(f"unknown function {name}")
         least, most, builder = FUNCTIONS[name]

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.graph import _widened
-from .compiler import Compiler, Entity, Frame, fresh
+from ..sources.graph import EID, _widened
+from .compiler import REL, Compiler, Entity, Frame, fresh
 from .parser import QueryError
 
 
@@ -38,10 +38,10 @@ class Writer(Compiler):
                 if len(rel["types"]) != 1:
                     raise QueryError("a new relationship needs one type")
                 s, d = (a, b) if rel["dir"] != "in" else (b, a)
-                e = Entity("rel", {k: fresh(k) for k in ("src", "dst", "type")}, {k: fresh(k) for k in rel["props"]})
+                e = Entity("rel", {k: fresh(k) for k in REL}, {k: fresh(k) for k in rel["props"]})
                 made = {e.cols["src"]: F.col(frame.scope[s].cols["id"]), e.cols["dst"]: F.col(frame.scope[d].cols["id"]), e.cols["type"]: F.lit(rel["types"][0])}
-                frame.df = self.engine.settle(frame.df.withColumns(made | {e.props[k]: self.expr(v, frame) for k, v in rel["props"].items()}))
-                rows = frame.df.select(*(F.col(e.cols[k]).alias(k) for k in ("src", "dst")), *(F.col(x).alias(k) for k, x in e.props.items()))
+                frame.df = self.engine.settle(self.numbered(frame.df.withColumns(made | {e.props[k]: self.expr(v, frame) for k, v in rel["props"].items()}), e.cols["eid"]))
+                rows = frame.df.select(*(F.col(e.cols[k]).alias(k) for k in ("src", "dst")), F.col(e.cols["eid"]).alias(EID), *(F.col(x).alias(k) for k, x in e.props.items()))
                 have = self.graph.rels.get(rel["types"][0])
                 self.engine.graph = self.graph.with_rels(rel["types"][0], _widened(have.df, rows) if have else rows)
                 if rel["var"]:
@@ -60,7 +60,7 @@ class Writer(Compiler):
 
     def do_merge(self, frame: Frame, c: dict) -> Frame:
         p = c["pattern"]
-        hit, keys = self.correlated(frame, [p], None, {n["var"] for n in p["nodes"] if n["var"]})
+        hit, keys = self.correlated(frame, [p], None, {n["var"] for n in p["nodes"] if n["var"]}, whole=True)
         hit.df = self.engine.settle(hit.df)
         if keys:
             alias = [(k, fresh("key")) for k in keys]
@@ -123,7 +123,7 @@ class Writer(Compiler):
         else:
             for kind, t in self.graph.rels.items():
                 mine = {p: c for p, c in x.props.items() if p in t.df.columns}
-                on = {"src": x.cols["src"], "dst": x.cols["dst"]} | mine
+                on = {"src": x.cols["src"], "dst": x.cols["dst"]} | ({EID: x.cols["eid"]} if EID in t.df.columns else {}) | mine
                 wanted = rows.filter(F.col(x.cols["type"]) == kind).select(*(F.col(c).alias(f"__k_{p}") for p, c in on.items()), *(F.col(c).alias(f"__{k}") for k, c in cols.items()), F.lit(True).alias("__hit"))
                 got = t.df.join(wanted, reduce(lambda a, b: a & b, (F.col(p).eqNullSafe(F.col(f"__k_{p}")) for p in on)), "left").drop(*(f"__k_{p}" for p in on))
                 self.engine.graph = self.graph.with_rels(kind, self.engine.settle(self.overwrite(got, t.df, new)), t.ends)
@@ -161,7 +161,7 @@ class Writer(Compiler):
             x = frame.scope[var]
             if x.kind == "rel":
                 for kind, t in self.graph.rels.items():
-                    on = {"src": x.cols["src"], "dst": x.cols["dst"]} | {p: k for p, k in x.props.items() if p in t.df.columns}
+                    on = {"src": x.cols["src"], "dst": x.cols["dst"]} | ({EID: x.cols["eid"]} if EID in t.df.columns else {}) | {p: k for p, k in x.props.items() if p in t.df.columns}
                     gone = frame.df.filter(F.col(x.cols["type"]) == kind).select(*(F.col(k).alias(f"__{p}") for p, k in on.items()))
                     left = t.df.join(gone, reduce(lambda a, b: a & b, (F.col(p).eqNullSafe(F.col(f"__{p}")) for p in on)), "left_anti")
                     self.engine.graph = self.graph.with_rels(kind, self.engine.settle(left), t.ends)

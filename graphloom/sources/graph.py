@@ -3,18 +3,70 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Column of a relationship table that tells parallel relationships apart; tables that weren't written here lack it.
+EID = "__id"
+
+
 @dataclass(frozen=True)
+class ForeignKey:
+    """A relationship that is a column of a node table: the rows of ``label`` are its end 0 (source) or 1 (target), and
+    ``other`` gives the other end's id from the properties it ``reads``."""
+
+    label: str
+    end: int
+    reads: tuple[str, ...]
+    other: Callable[[dict[str, Column]], Column]
+
+
 class RelTable:
-    """Rows (src, dst, properties...); ``ends`` names the labels every row joins, where known."""
+    """Rows (src, dst, properties...); ``ends`` names the labels every row joins, where known. A function is called for
+    the table when it is first read."""
+
+    def __init__(self, df: DataFrame | Callable[[], DataFrame], ends: tuple[str | None, str | None] = (None, None), key: ForeignKey | None = None):
+        self._df, self.ends, self.key = df, ends, key
+
+    @property
+    def df(self) -> DataFrame:
+        if not isinstance(self._df, DataFrame):
+            self._df = self._df()
+        return self._df
+
+    def unkeyed(self) -> RelTable:
+        return RelTable(self._df, self.ends)
 
-    df: DataFrame
-    ends: tuple[str | None, str | None] = (None, None)
+
+class NodeTables(dict):
+    """Node tables by label set; a table given as a function is opened when it is first read."""
+
+    def __getitem__(self, key: tuple[str, ...]) -> DataFrame:
+        table = super().__getitem__(key)
+        if not isinstance(table, DataFrame):
+            table = table()
+            self[key] = table
+        return table
+
+    def get(self, key, default=None):
+        return self[key] if key in self else default
+
+    def items(self):
+        return [(k, self[k]) for k in list(self)]
+
+    def having(self, labels: list[str]) -> list[tuple[str, ...]]:
+        return [key for key in self if set(labels) <= set(key)]
+
+    def with_table(self, key: tuple[str, ...], table) -> NodeTables:
+        out = NodeTables()
+        for k in self:
+            dict.__setitem__(out, k, dict.__getitem__(self, k))
+        out[key] = table
+        return out
 
 
 @dataclass(frozen=True)
@@ -22,18 +74,25 @@ class PropertyGraph:
     """An immutable version of a graph. Node tables have ``id`` and properties; ids are unique over all labels."""
 
     spark: SparkSession
-    nodes: dict[tuple[str, ...], DataFrame] = field(default_factory=dict)
+    nodes: NodeTables = field(default_factory=NodeTables)
     rels: dict[str, RelTable] = field(default_factory=dict)
 
-    def with_nodes(self, labels: tuple[str, ...], df: DataFrame) -> PropertyGraph:
-        return replace(self, nodes=self.nodes | {tuple(labels): df})
+    def with_nodes(self, labels: tuple[str, ...], df: DataFrame | Callable[[], DataFrame]) -> PropertyGraph:
+        """A version with another table for a label set; relationships that were its columns are tables from then on."""
+        rels = {k: t.unkeyed() if t.key and t.key.label in labels else t for k, t in self.rels.items()}
+        return replace(self, nodes=self.nodes.with_table(tuple(labels), df), rels=rels)
+
+    def with_rels(self, kind: str, df: DataFrame | Callable[[], DataFrame], ends: tuple = (None, None), key: ForeignKey | None = None) -> PropertyGraph:
+        return replace(self, rels=self.rels | {kind: RelTable(df, ends, key)})
 
-    def with_rels(self, kind: str, df: DataFrame, ends: tuple = (None, None)) -> PropertyGraph:
-        return replace(self, rels=self.rels | {kind: RelTable(df, ends)})
+    def only_table(self, labels: list[str]) -> str | None:
+        """The label whose one table, of that label alone, holds all nodes that have ``labels``."""
+        keys = self.nodes.having(labels)
+        return keys[0][0] if labels and len(keys) == 1 and len(keys[0]) == 1 else None
 
     def scan(self, labels: list[str]) -> tuple[DataFrame, list[str]]:
         """Nodes that have all of ``labels`` (id, labels, properties), and the property names."""
-        parts = [df.withColumn("labels", F.array(*map(F.lit, key))) for key, df in self.nodes.items() if set(labels) <= set(key)]
+        parts = [self.nodes[key].withColumn("labels", F.array(*map(F.lit, key)).cast("array<string>")) for key in self.nodes.having(labels)]
         if not parts:
             return self.spark.createDataFrame([], "id long, labels array<string>"), []
         out = parts[0]
@@ -42,14 +101,15 @@ class PropertyGraph:
         return out, [c for c in out.columns if c not in ("id", "labels")]
 
     def edges(self, types: list[str]) -> tuple[DataFrame, list[str]]:
-        """Relationships of ``types`` (any, if none are named): src, dst, type, properties."""
+        """Relationships of ``types`` (any, if none are named): src, dst, type, EID, properties."""
         parts = [t.df.withColumn("type", F.lit(k)) for k, t in self.rels.items() if not types or k in types]
+        parts = [p if EID in p.columns else p.withColumn(EID, F.lit(None).cast("long")) for p in parts]
         if not parts:
-            return self.spark.createDataFrame([], "src long, dst long, type string"), []
+            return self.spark.createDataFrame([], f"src long, dst long, type string, {EID} long"), []
         out = parts[0]
         for p in parts[1:]:
             out = _widened(out, p)
-        return out, [c for c in out.columns if c not in ("src", "dst", "type")]
+        return out, [c for c in out.columns if c not in ("src", "dst", "type", EID)]
 
     def save(self, path: str) -> None:
         """A Parquet folder for each node and relationship table."""

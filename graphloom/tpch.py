@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import GraphEngine
-from .sources.graph import PropertyGraph
+from .sources.graph import ForeignKey, PropertyGraph
 
 #: label -> (table, key); ids are ordinal * 2**40 + key.
 LABELS = {
@@ -21,19 +21,34 @@ def node_id(label: str, key) -> Column:
     return F.lit((list(LABELS).index(label) + 1) << 40) + (F.col(key) if isinstance(key, str) else key).cast("long")
 
 
+_opened: dict[tuple, DataFrame] = {}
+
+
 def tpch_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """Lazy views: node tables are the tables with an id, relationships are projections of foreign keys."""
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    """Lazy views: node tables are the tables with an id, relationships are foreign keys. A table is opened when it is
+    first read, and once in a session."""
     g = PropertyGraph(spark)
-    for label, (t, key) in LABELS.items():
+
+    def read(t: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, id(spark), sf_dir, t)
+        if key not in _opened:
+            _opened[key] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        return _opened[key]
+
+    def nodes(label: str, t: str, key: str) -> DataFrame:
         df = read(t)
-        wide = [F.col(c).cast("long").alias(c) if k == "int" else F.col(c) for c, k in df.dtypes]
-        g = g.with_nodes((label,), df.select(node_id(label, key).alias("id"), *wide))
+        return df.select(node_id(label, key).alias("id"), *(F.col(c).cast("long").alias(c) if k == "int" else F.col(c) for c, k in df.dtypes))
+
+    for label, (t, key) in LABELS.items():
+        g = g.with_nodes((label,), lambda label=label, t=t, key=key: nodes(label, t, key))
 
     def rel(name: str, t: str, a: tuple, b: tuple, props: list[str]) -> None:
         nonlocal g
-        df = read(t).select(node_id(*a).alias("src"), node_id(*b).alias("dst"), *props)
-        g = g.with_rels(name, df, (a[0], b[0]))
+        key = None
+        for end, (own, far) in enumerate(((a, b), (b, a))):
+            if LABELS[own[0]] == (t, own[1]) and not props:
+                key = ForeignKey(own[0], end, (far[1],), lambda p, far=far: node_id(far[0], p[far[1]]))
+        g = g.with_rels(name, lambda: read(t).select(node_id(*a).alias("src"), node_id(*b).alias("dst"), *props), (a[0], b[0]), key)
 
     rel("IN_REGION", "nation", ("Nation", "n_nationkey"), ("Region", "n_regionkey"), [])
     rel("LIVES_IN", "customer", ("Customer", "c_custkey"), ("Nation", "c_nationkey"), [])
@@ -41,8 +56,12 @@ def tpch_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     rel("PLACED", "orders", ("Customer", "o_custkey"), ("Order", "o_orderkey"), [])
     rel("CONTAINS", "lineitem", ("Order", "l_orderkey"), ("Part", "l_partkey"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"])
     rel("DID", "events", ("Customer", "user_id"), ("Event", "event_id"), [])
-    supplies = read("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
-    return g.with_rels("SUPPLIES", supplies.select(node_id("Supplier", "l_suppkey").alias("src"), node_id("Part", "l_partkey").alias("dst"), "n"), ("Supplier", "Part"))
+
+    def supplies() -> DataFrame:
+        pairs = read("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
+        return pairs.select(node_id("Supplier", "l_suppkey").alias("src"), node_id("Part", "l_partkey").alias("dst"), "n")
+
+    return g.with_rels("SUPPLIES", supplies, ("Supplier", "Part"))
 
 
 #: name -> (query, SQL)
