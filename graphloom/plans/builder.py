@@ -1,123 +1,105 @@
-"""A fluent way to write a query: each method adds a clause, ``run`` gives the DataFrame. Values travel as parameters."""
+"""A query written step by step. Patterns and expressions are text of the query language; values travel as parameters.
+
+    engine.builder().match("(c:Customer)-[:LIVES_IN]->(n)", c={"c_nationkey": 3}).where("c.c_acctbal > $least", least=0).returns("n.n_name AS n").run()
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import DataFrame
 
-from .parser import QueryError
+from .parser import QueryError, parse
 
 if TYPE_CHECKING:
     from ..engine import GraphEngine
 
 
-def _quoted(name: str) -> str:
+def quoted(name: str) -> str:
     if "`" in name or not name:
         raise QueryError(f"not a name: {name!r}")
     return f"`{name}`"
 
 
-def _labels(labels: str | list[str] | None) -> str:
-    return "".join(f":{_quoted(x)}" for x in ([labels] if isinstance(labels, str) else labels or []) if x)
-
-
 class QueryBuilder:
-    def __init__(self, engine: GraphEngine):
-        self.engine = engine
-        self.clauses: list[tuple[str, str]] = []
-        self.params: dict[str, Any] = {}
-        self.tail: dict[str, str] = {}
-
-    def _value(self, x: Any) -> str:
-        self.params[name := f"b{len(self.params)}"] = x
-        return f"${name}"
-
-    def _props(self, props: dict[str, Any] | None) -> str:
-        return " {" + ", ".join(f"{_quoted(k)}: {self._value(v)}" for k, v in props.items()) + "}" if props else ""
-
-    def _add(self, kind: str, text: str) -> QueryBuilder:
-        """A clause; clauses of a kind in a row become one, but for those that can't be joined by a comma."""
-        self.clauses.append((kind, text))
-        return self
+    """Immutable: every method gives a longer query, so a common beginning can be shared."""
 
-    # -- reading -----------------------------------------------------------------------------------------------------
-    def match_(self, variable: str, labels: str | list[str] | None = None, key: str = "", value: Any = None) -> QueryBuilder:
-        return self._add("MATCH", f"({_quoted(variable)}{_labels(labels)}{self._props({key: value} if key else None)})")
+    def __init__(self, engine: GraphEngine, steps: tuple[str, ...] = (), params: dict[str, Any] | None = None):
+        self.engine, self.steps, self.params = engine, steps, params or {}
 
-    def traverse_(self, source: str, kind: str, target: str, labels: str | list[str] | None = None, variable: str = "") -> QueryBuilder:
-        """One hop along relationships of a type, from a variable to another, which may be new."""
-        rel = f"[{_quoted(variable) if variable else ''}{_labels(kind)}]"
-        return self._add("MATCH", f"({_quoted(source)})-{rel}->({_quoted(target)}{_labels(labels)})")
+    def then(self, clause: str, **params: Any) -> QueryBuilder:
+        """Any clause, with its parameters."""
+        taken = params.keys() & self.params.keys()
+        if any(self.params[k] != params[k] for k in taken):
+            raise QueryError(f"parameters of one name: {sorted(taken)}")
+        return QueryBuilder(self.engine, (*self.steps, clause), self.params | params)
 
-    def where_(self, variable: str, key: str, value: Any, op: str = "=") -> QueryBuilder:
-        if op not in ("=", "<>", "<", "<=", ">", ">=", "IN", "STARTS WITH", "ENDS WITH", "CONTAINS", "=~"):
-            raise QueryError(f"not a comparison: {op!r}")
-        return self._add("WHERE", f"{_quoted(variable)}.{_quoted(key)} {op} {self._value(value)}")
+    def _equal(self, wanted: dict[str, dict[str, Any]]) -> tuple[str, dict[str, Any]]:
+        """Conditions var.key = value, and their parameters."""
+        found, params = [], {}
+        for var, props in wanted.items():
+            for key, value in props.items():
+                name = f"v{len(self.params) + len(params)}"
+                params[name] = value
+                found.append(f"{quoted(var)}.{quoted(key)} = ${name}")
+        return " AND ".join(found), params
 
-    def unwind(self, values: list, alias: str) -> QueryBuilder:
-        return self._add("UNWIND", f"{self._value(values)} AS {_quoted(alias)}")
+    def match(self, *patterns: str, optional: bool = False, **equal: dict[str, Any]) -> QueryBuilder:
+        """Patterns; ``var={"key": value}`` asks a variable for property values."""
+        cond, params = self._equal(equal)
+        return self.then(f"{'OPTIONAL ' if optional else ''}MATCH {', '.join(patterns)}{' WHERE ' + cond if cond else ''}", **params)
 
-    def call_(self, procedure: str, args: list | tuple = ()) -> QueryBuilder:
-        return self._add("CALL", f"{procedure}({', '.join(self._value(a) for a in args)})")
+    def where(self, condition: str, **params: Any) -> QueryBuilder:
+        """Keep rows; may follow any clause."""
+        return self.then(f"WITH * WHERE {condition}", **params)
 
-    # -- writing -----------------------------------------------------------------------------------------------------
-    def create_(self, variable: str, labels: str | list[str], source: str | None = None, target: str | None = None, props: dict[str, Any] | None = None) -> QueryBuilder:
-        """A node with labels; with source and target, a relationship of that type between two variables."""
-        if source is None:
-            return self._add("CREATE", f"({_quoted(variable)}{_labels(labels)}{self._props(props)})")
-        return self._add("CREATE", f"({_quoted(source)})-[{_quoted(variable)}{_labels(labels)}{self._props(props)}]->({_quoted(target or '')})")
+    def unwind(self, values: Iterable, name: str) -> QueryBuilder:
+        param = f"v{len(self.params)}"
+        return self.then(f"UNWIND ${param} AS {quoted(name)}", **{param: list(values)})
 
-    def delete_(self, variables: list[str], detach: bool = False) -> QueryBuilder:
-        return self._add("DETACH DELETE" if detach else "DELETE", ", ".join(map(_quoted, variables)))
+    def call(self, procedure: str, *args: Any, yields: str = "") -> QueryBuilder:
+        params = {f"v{len(self.params) + i}": a for i, a in enumerate(args)}
+        return self.then(f"CALL {procedure}({', '.join('$' + k for k in params)}){' YIELD ' + yields if yields else ''}", **params)
 
-    def set_(self, variable: str, key: str, value: Any) -> QueryBuilder:
-        return self._add("SET", f"{_quoted(variable)}.{_quoted(key)} = {self._value(value)}")
+    def create(self, *patterns: str, **params: Any) -> QueryBuilder:
+        return self.then(f"CREATE {', '.join(patterns)}", **params)
 
-    def set_label_(self, variable: str, label: str) -> QueryBuilder:
-        return self._add("SET", f"{_quoted(variable)}{_labels(label)}")
+    def merge(self, pattern: str, **params: Any) -> QueryBuilder:
+        return self.then(f"MERGE {pattern}", **params)
 
-    def remove_(self, variable: str, key: str, is_label: bool = False) -> QueryBuilder:
-        return self._add("REMOVE", f"{_quoted(variable)}{_labels(key) if is_label else '.' + _quoted(key)}")
+    def assign(self, var: str, **values: Any) -> QueryBuilder:
+        """Set properties of a variable."""
+        params = {f"v{len(self.params) + i}": v for i, v in enumerate(values.values())}
+        return self.then("SET " + ", ".join(f"{quoted(var)}.{quoted(k)} = ${p}" for k, p in zip(values, params, strict=True)), **params)
 
-    # -- indexes -----------------------------------------------------------------------------------------------------
-    def create_index_(self, label: str, prop: str, name: str = "") -> QueryBuilder:
-        return self._add("CREATE INDEX", f"{_quoted(name) + ' ' if name else ''}FOR (n{_labels(label)}) ON (n.{_quoted(prop)})")
+    def label(self, var: str, *labels: str, remove: bool = False) -> QueryBuilder:
+        return self.then(("REMOVE " if remove else "SET ") + ", ".join(f"{quoted(var)}:{quoted(x)}" for x in labels))
 
-    def drop_index_(self, name_or_label: str, prop: str = "") -> QueryBuilder:
-        return self._add("DROP INDEX", f"ON {_labels(name_or_label)}({_quoted(prop)})" if prop else _quoted(name_or_label))
+    def forget(self, var: str, *keys: str) -> QueryBuilder:
+        """Remove properties of a variable."""
+        return self.then("REMOVE " + ", ".join(f"{quoted(var)}.{quoted(k)}" for k in keys))
 
-    def show_indexes_(self) -> QueryBuilder:
-        return self._add("SHOW INDEXES", "")
+    def delete(self, *variables: str, detach: bool = False) -> QueryBuilder:
+        return self.then(f"{'DETACH ' if detach else ''}DELETE {', '.join(map(quoted, variables))}")
 
-    # -- the end -----------------------------------------------------------------------------------------------------
-    def return_(self, items: list[str]) -> QueryBuilder:
-        """Items are expressions of the query language: ``n``, ``n.name``, ``count(*) AS n``."""
-        self.tail["RETURN"] = ", ".join(items)
-        return self
+    def returns(self, *items: str, distinct: bool = False) -> QueryBuilder:
+        return self.then(f"RETURN {'DISTINCT ' if distinct else ''}{', '.join(items)}")
 
-    def order_by_(self, items: list[tuple[str, str, bool]]) -> QueryBuilder:
-        """(variable, property, ascending) each; an empty property sorts by the variable itself."""
-        self.tail["ORDER BY"] = ", ".join(f"{_quoted(v)}{'.' + _quoted(p) if p else ''}{'' if up else ' DESC'}" for v, p, up in items)
-        return self
+    def order_by(self, *keys: str) -> QueryBuilder:
+        return self.then(f"ORDER BY {', '.join(keys)}")
 
-    def skip_(self, n: int) -> QueryBuilder:
-        self.tail["SKIP"] = str(int(n))
-        return self
-
-    def limit_(self, n: int) -> QueryBuilder:
-        self.tail["LIMIT"] = str(int(n))
-        return self
+    def page(self, size: int, after: int = 0) -> QueryBuilder:
+        """``size`` rows after the first ``after``."""
+        return self.then(f"{f'SKIP {int(after)} ' if after else ''}LIMIT {int(size)}")
 
     def text(self) -> str:
-        out: list[tuple[str, str]] = []
-        for kind, body in self.clauses:
-            if out and out[-1][0] == kind and kind in ("MATCH", "CREATE", "SET", "REMOVE", "WHERE"):
-                out[-1] = kind, f"{out[-1][1]}{' AND ' if kind == 'WHERE' else ', '}{body}"
-            else:
-                out.append((kind, body))
-        out += [(k, self.tail[k]) for k in ("RETURN", "ORDER BY", "SKIP", "LIMIT") if k in self.tail]
-        return " ".join(f"{k} {body}".strip() for k, body in out)
+        return " ".join(self.steps)
+
+    def check(self) -> QueryBuilder:
+        """Raise if the query so far can't be parsed."""
+        parse(self.text())
+        return self
 
     def run(self) -> DataFrame:
         return self.engine.cypher(self.text(), **self.params)

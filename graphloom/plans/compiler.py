@@ -441,21 +441,24 @@ class Compiler:
         df, _ = self.edges(rel, rel["dir"])
         one = self.engine.settle(df.select("__from", "__to", F.struct("type", "src", "dst").alias("__link")))
         pairs = self.engine.settle(frame.df.select(F.col(s).alias("s"), F.col(t).alias("t")).distinct())
-        cur = pairs.withColumns({"path": F.array("s"), "links": F.array().cast("array<struct<type:string,src:bigint,dst:bigint>>")})
+        # One search a source, whatever number of targets it has; it ends when all are found.
+        seen = pairs.select("s", F.col("s").alias("n")).distinct()
+        cur = seen.withColumns({"path": F.array("s"), "links": F.array().cast("array<struct<type:string,src:bigint,dst:bigint>>")})
         found, lo = None, rel["lo"] if rel["lo"] is not None else 1
         if lo == 0:
-            found = cur.filter("s = t")
-        seen = pairs.select("s", "t", F.col("s").alias("n"))
+            found = cur.join(pairs, "s").filter("s = t").select("s", "t", "path", "links")
+            pairs = pairs.filter("s <> t")
         for _ in itertools.count() if rel["open"] else range(min(rel["hi"] or 1, self.max_hops)):
-            nxt = cur.join(one, F.element_at("path", -1) == F.col("__from")).select("s", "t", F.concat("path", F.array("__to")).alias("path"), F.concat("links", F.array("__link")).alias("links"), F.col("__to").alias("n"))
-            nxt = nxt.join(seen, ["s", "t", "n"], "left_anti")
+            nxt = cur.join(one, F.col("n") == F.col("__from")).select("s", F.col("__to").alias("n"), F.concat("path", F.array("__to")).alias("path"), F.concat("links", F.array("__link")).alias("links"))
+            nxt = nxt.join(seen, ["s", "n"], "left_anti")
             if p["fn"] == "shortestpath":
-                nxt = nxt.groupBy("s", "t", "n").agg(F.min(F.struct("path", "links")).alias("m")).select("s", "t", "n", "m.path", "m.links")
+                nxt = nxt.groupBy("s", "n").agg(F.min(F.struct("path", "links")).alias("m")).select("s", "n", "m.path", "m.links")
             nxt = self.engine.settle(nxt)
-            hit = nxt.filter("n = t").drop("n")
+            hit = nxt.join(pairs, (nxt["s"] == pairs["s"]) & (nxt["n"] == pairs["t"])).select(nxt["s"], "t", "path", "links")
             found = hit if found is None else found.unionByName(hit)
-            seen = self.engine.settle(seen.unionByName(nxt.select("s", "t", "n").distinct()))
-            cur = nxt.join(hit.select("s", "t").distinct(), ["s", "t"], "left_anti").drop("n")
+            seen = self.engine.settle(seen.unionByName(nxt.select("s", "n").distinct()))
+            pairs = self.engine.settle(pairs.join(hit.select("s", "t").distinct(), ["s", "t"], "left_anti"))
+            cur = nxt.join(pairs.select("s").distinct(), "s", "left_semi")
             if cur.isEmpty():
                 break
         e = Entity("path", {"nodes": fresh("nodes"), "rels": fresh("rels")})

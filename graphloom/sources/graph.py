@@ -143,7 +143,8 @@ _CASTS = {"int": "bigint", "integer": "bigint", "long": "bigint", "float": "doub
 
 
 def _typed(df: DataFrame, delimiter: str, lenient: bool) -> tuple[DataFrame, dict[str, str]]:
-    """Columns of a bulk file by their headers: name, name:TYPE, name:TYPE[], and the marked ones by mark."""
+    """Columns of a bulk file by their headers: name, name:TYPE, name:TYPE[], and the marked ones by mark. What has no
+    type is text, but keeps the type that a JSON file gives it."""
     marks, out = {}, []
     for c in df.columns:
         name, _, kind = c.partition(":")
@@ -152,6 +153,9 @@ def _typed(df: DataFrame, delimiter: str, lenient: bool) -> tuple[DataFrame, dic
             marks[base] = c
             out.append(F.col(f"`{c}`").cast("string").alias(f"__{base}"))
             continue
+        if not kind and dict(df.dtypes)[c] != "string":  # JSON brings types of its own
+            out.append(F.col(f"`{c}`").alias(name))
+            continue
         many, to = kind.endswith("[]"), _CASTS.get(kind.removesuffix("[]").lower() or "string", "string")
         x = F.split(F.col(f"`{c}`"), re.escape(delimiter)) if many else F.col(f"`{c}`")
         to = f"array<{to}>" if many else to

@@ -68,22 +68,28 @@ def test_import(spark, tmp_path):
 
 def test_builder(spark):
     e = GraphEngine(spark)
-    e.builder().create_("a", "P", props={"name": "it's", "age": 3}).create_("b", ["P", "Q"], props={"name": "Bo", "age": 4}).create_("r", "K", "a", "b", {"w": 2}).run()
-    assert [tuple(r) for r in e.builder().match_("n", "P").where_("n", "age", 2, ">").where_("n", "age", 9, "<").order_by_([("n", "age", False)]).skip_(1).limit_(1).return_(["n.name AS name"]).run().collect()] == [("it's",)]
-    hop = e.builder().match_("a", "P", "name", "it's").traverse_("a", "K", "b", "Q", "r").return_(["b.name AS b", "r.w AS w"])
-    assert [tuple(r) for r in hop.run().collect()] == [("Bo", 2)]
-    e.builder().match_("n", "Q").set_("n", "age", 5).set_label_("n", "R").remove_("n", "name").run()
+    e.builder().create("(a:P {name: $n, age: 3})", "(b:P:Q {name: 'Bo', age: 4})", "(a)-[:K {w: 2}]->(b)", n="it's").run()
+    got = lambda b: [tuple(r) for r in b.run().collect()]
+    people = e.builder().match("(n:P)")
+    assert got(people.where("n.age > $low AND n.age < $high", low=2, high=9).returns("n.name AS name").order_by("n.age DESC").page(1, after=1)) == [("it's",)]
+    assert got(e.builder().match("(a:P)-[r:K]->(b:Q)", a={"name": "it's"}).returns("b.name AS b", "r.w AS w").check()) == [("Bo", 2)]
+    e.builder().match("(n:Q)").assign("n", age=5).run()
+    e.builder().match("(n:Q)").label("n", "R").run()
+    e.builder().match("(n:Q)").forget("n", "name").run()
     assert rows(e, "MATCH (n:R) RETURN n.age AS a, n.name AS n") == [(5, None)]
-    e.builder().match_("n", "R").delete_(["n"], detach=True).run()
-    assert [tuple(r) for r in e.builder().match_("n", "P").return_(["count(n) AS c"]).run().collect()] == [(1,)]
-    assert [tuple(r) for r in e.builder().unwind([1, 2], "x").return_(["sum(x) AS s"]).run().collect()] == [(3,)]
-    e.builder().create_index_("P", "name", "ix").run()
-    assert e.builder().show_indexes_().run().count() == 1
-    e.builder().drop_index_("P", "name").run()
-    e.builder().call_("dbms.setConfig", ["k", "v"]).run()
-    assert e.config["k"] == "v" and e.indexes == {}
+    e.builder().match("(n:R)").delete("n", detach=True).run()
+    assert got(people.returns("count(n) AS c")) == [(1,)]  # a builder is not changed by what follows from it
+    assert got(e.builder().unwind([1, 2, 2], "x").returns("sum(DISTINCT x) AS s")) == [(3,)]
+    e.builder().merge("(m:M {k: $k})", k=7).run()
+    assert got(e.builder().match("(m:M)", optional=True).returns("m.k AS k", distinct=True)) == [(7,)]
+    e.builder().call("dbms.setConfig", "k", "v").run()
+    assert e.config["k"] == "v"
     with pytest.raises(QueryError):
-        e.builder().match_("n`", "P")
+        e.builder().match("(n)", **{"n`": {"k": 1}})
+    with pytest.raises(QueryError):
+        people.where("n.a = $x", x=1).where("n.b = $x", x=2)
+    with pytest.raises(QueryError):
+        e.builder().match("(n").check()
 
 
 def test_durations(engine):
@@ -101,6 +107,93 @@ def test_bad_syntax(bad):
         parse(bad)
 
 
+def test_parallel_relationships_have_identities(spark):
+    e = GraphEngine(spark)
+    e.cypher("CREATE (a:T)-[:R {w: 1}]->(b:T), (a)-[:R {w: 1}]->(b)")
+    assert rows(e, "MATCH (:T)-[r:R]->(:T) RETURN count(DISTINCT id(r)) AS n") == [(2,)]
+    e.cypher("MATCH (:T)-[r:R]->(:T) WITH r LIMIT 1 SET r.w = 2")
+    assert rows(e, "MATCH (:T)-[r:R]->(:T) RETURN r.w AS w ORDER BY w") == [(1,), (2,)]
+    e.cypher("MATCH (:T)-[r:R]->(:T) WHERE r.w = 2 DELETE r")
+    assert rows(e, "MATCH (:T)-[r:R]->(:T) RETURN r.w AS w") == [(1,)]
+
+
+@pytest.mark.parametrize("query,want", [
+    ("RETURN [x IN ['a', 'b'] | x + '!'] AS l, reduce(s = '', x IN ['a', 'b'] | s + x) AS r, reduce(t = 0, x IN [1.5, 2.5] | t + x) AS u", [(["a!", "b!"], "ab", 4.0)]),
+    ("RETURN 2147483647 + 1 AS a, [x IN [100000] | x * x] AS b", [(2147483648, [10**10])]),
+    ("RETURN 1 < 2 < 3 AS a, 'a' < 1 AS b, 1 = 'a' AS c, null < 1 AS d", [(True, False, False, None)]),
+    ("RETURN {a: 1}.b AS a, size({a: 1}) AS b, toInteger(1.0E10) AS c, duration('P1M') < duration('P31D') AS d", [(None, None, 10**10, True)]),
+    ("UNWIND [1, 'a', true] AS x RETURN toString(x) AS s, x = 'a' AS a // the end", [("1", False), ("a", True), ("true", False)]),
+    ("UNWIND $rows AS r RETURN r.a AS a, r.b AS b", [(1, "x"), (2, None)]),
+    ("UNWIND [1, 1, 2, 4] AS x RETURN percentileCont(DISTINCT x, 0.5) AS c, percentileDisc(DISTINCT x, 0.5) AS d", [(2.0, 2)]),
+])
+def test_types(engine, query, want):
+    assert rows(engine, query, rows=[{"a": 1, "b": "x"}, {"a": 2}]) == want
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning"), plan
+
+
+def test_plans(spark):
+    """A foreign key is no join with the table itself; exists is a semi join; no table is opened that isn't read."""
+    from graphloom import tpch
+
+    g = tpch.tpch_graph(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        e = GraphEngine(spark, g)
+        n, plan = exchanges(e.cypher("MATCH (c:Customer)-[:LIVES_IN]->(n:Nation) RETURN n.n_name AS n, c.c_custkey AS k"))
+        assert n == 2 and plan.split("== Initial Plan ==")[0].count("Scan parquet") == 2
+        n, plan = exchanges(e.cypher("MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.c_custkey AS k, o.o_totalprice AS p"))
+        assert n == 2 and plan.split("== Initial Plan ==")[0].count("Scan parquet") == 2
+        n, plan = exchanges(e.cypher("MATCH (c:Customer) WHERE NOT exists((c)-[:PLACED]->(:Order {o_orderstatus: 'F'})) RETURN c.c_custkey AS k"))
+        assert n == 2 and "LeftAnti" in plan and plan.split("== Initial Plan ==")[0].count("Scan parquet") == 2
+        assert sum(isinstance(dict.__getitem__(g.nodes, k), type(spark.range(1))) for k in g.nodes) <= 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_paths_and_searches(spark):
+    e = GraphEngine(spark)
+    e.cypher("UNWIND range(1, 25) AS i CREATE (:C {i: i})")
+    e.cypher("MATCH (a:C), (b:C) WHERE b.i = a.i + 1 CREATE (a)-[:N]->(b)")
+    assert rows(e, "MATCH (a:C {i: 1}), (b:C {i: 25}) MATCH p = shortestPath((a)-[:N*]->(b)) RETURN length(p) AS n") == [(24,)]
+    ids = dict(rows(e, "MATCH (a:C) RETURN a.i AS i, id(a) AS k"))
+    assert e.get_shortest_path(ids[1], ids[4]).head().path == [ids[i] for i in (1, 2, 3, 4)] and e.get_shortest_path(ids[1], ids[25]).count() == 0
+    assert e.bfs(ids[1]).count() == 25
+    e.cypher("MATCH (a:C {i: 1}), (b:C {i: 3}) CREATE (a)-[:N]->(b)")
+    assert sorted(r.path for r in e.find_all_paths(ids[1], ids[4]).collect()) == [[ids[i] for i in (1, 2, 3, 4)], [ids[i] for i in (1, 3, 4)]]
+    e.cypher("CALL dbms.setConfig('query.max_hops', 2)")
+    assert rows(e, "MATCH (a:C {i: 5})-[:N*]->(b) RETURN max(b.i) AS i") == [(7,)]
+
+
+def test_searches_in_batches(spark, monkeypatch):
+    from graphloom.operators import algorithms as alg
+
+    e = GraphEngine(spark)
+    e.cypher("CREATE (a:B {n: 1})-[:L]->(b:B {n: 2})-[:L]->(c:B {n: 3})-[:L]->(d:B {n: 4}), (b)-[:L]->(d), (:B {n: 5})")
+    e.cypher("CALL gds.graph.project('g', 'B', 'L')")
+    both = lambda: [sorted(rows(e, f"CALL gds.{x}.stream('g')")) for x in ("closeness", "betweenness")]
+    whole = both()
+    monkeypatch.setattr(alg, "HELD", 10)
+    assert both() == whole and sorted(s for _, s in whole[1]) == [0, 0, 0, 0, 2.0]
+    assert len(rows(e, "CALL gds.closeness.stream('g', 2)")) == 5
+
+
+def test_constraint_violations(spark):
+    e = GraphEngine(spark)
+    e.cypher("CREATE (:U {a: 1, b: 'x'}), (:U {a: 2, b: 'y'})")
+    for rule, bad in (("n.a IS UNIQUE", "CREATE (:U {a: 1, b: 'z'})"), ("n.b IS NOT NULL", "CREATE (:U {a: 9})"), ("(n.a, n.b) IS NODE KEY", "CREATE (:U {a: 1, b: 'x'})"), ("n.a IS :: INTEGER", "CREATE (:U {a: 'text', b: 'q'})")):
+        e.cypher(f"CREATE CONSTRAINT c FOR (n:U) REQUIRE {rule}")
+        with pytest.raises(QueryError):
+            e.cypher(bad)
+        assert e.scalar("MATCH (n:U) RETURN count(n) AS n") == 2
+        e.cypher("DROP CONSTRAINT c")
+    with pytest.raises(QueryError):
+        e.cypher("MATCH (n:U {a: 1}), (m:U {a: 2}) CREATE (n)-[:R]->(m)") and e.cypher("MATCH (n:U) DELETE n")
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
