@@ -6,8 +6,10 @@ Anchors that occur once can't hold a repeat; equal pieces are merged before anyt
 
 Columns. The distinct pieces of repeated anchors are a collection of short documents. Each round inserts one more symbol
 of every piece, from its end on, into the Burrows-Wheeler transform of all suffixes so far and updates the common
-prefixes; both live in external files that a round reads and writes in sequence. At the end suffixes in a run of common
-prefixes of WINDOW bytes are equal windows, and all but the first in (doc_id, position) are repeats.
+prefixes; both live in external files that a round reads and writes in sequence, of a collection that is bounded but for
+the pieces of one anchor. At the end suffixes in a run of common prefixes of WINDOW bytes are equal windows, and all but
+the first in (doc_id, position) are repeats. Equal pieces, named by 128 hash bits, enter the collection once: a window
+of a later copy is a repeat because its piece is.
 """
 
 from __future__ import annotations
@@ -80,9 +82,7 @@ def _pieces(documents: DataFrame) -> DataFrame:
 
 
 class _File:
-    """An array kept in an external file, read and written in sequence, in slabs."""
-
-    SLAB = 1 << 20
+    """An array kept in an external file, read and written in sequence."""
 
     def __init__(self, folder: str, dtype):
         self.file, self.dtype = tempfile.TemporaryFile(dir=folder), np.dtype(dtype)
@@ -301,15 +301,13 @@ def _judged(contents: DataFrame) -> DataFrame:
                 continue
             held.append(batch)
             size += batch.column("bytes").nbytes
-            if size >= COLLECTION:
+            if size >= COLLECTION and held[0].column("anchor")[0] != batch.column("anchor")[batch.num_rows - 1]:
                 t = pa.Table.from_batches(held)
                 keys = t.column("anchor").to_numpy()
                 cut = int(np.searchsorted(keys, keys[-1]))
-                if cut:
-                    yield judge(t.slice(0, cut))
-                    rest = t.slice(cut).combine_chunks()
-                    held = rest.to_batches()
-                    size = sum(b.column("bytes").nbytes for b in held)
+                yield judge(t.slice(0, cut))
+                held = t.slice(cut).combine_chunks().to_batches()
+                size = sum(b.column("bytes").nbytes for b in held)
         if held:
             yield judge(pa.Table.from_batches(held))
 
