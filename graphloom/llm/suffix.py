@@ -198,16 +198,41 @@ def _least(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, block: int = 32) -> np
 
 
 def _contents(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (anchor, piece, doc, h, start, n) with the pieces' bytes, each text read once, however often its row is repeated."""
+    """wanted (anchor, piece, doc, h, start, n) with the pieces' bytes.
+
+    Repeated rows meet in one task, where all but the first are passed over; a task that Spark splits may give a piece
+    once for each part.
+    """
     per = wanted.groupBy("doc", "h").agg(F.collect_list(F.struct("anchor", "piece", "start", "n")).alias("p"))
-    joined = documents.dropDuplicates(["doc", "h"]).join(per.hint("shuffle_hash"), ["doc", "h"])
+    joined = documents.join(per.hint("shuffle_hash"), ["doc", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            for text, doc, h, ps in zip(as_bytes(batch.column("text")), batch.column("doc").to_pylist(), batch.column("h").to_pylist(), batch.column("p").to_pylist(), strict=True):
+            keys = list(zip(batch.column("doc").to_pylist(), batch.column("h").to_pylist(), strict=True))
+            rows = []
+            for i, k in enumerate(keys):
+                if k not in seen:
+                    seen.add(k)
+                    rows.append(i)
+            if not rows:
+                continue
+            texts = as_bytes(batch.column("text").take(pa.array(rows)))
+            lists = batch.column("p").take(pa.array(rows))
+            p, count = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            start, n = p.field("start").to_numpy(), p.field("n").to_numpy().astype(np.int64)
+            first = np.concatenate([[0], np.cumsum(count)])
+            doc, h = (np.repeat(batch.column(c).to_numpy()[rows], count) for c in ("doc", "h"))
+            # Pieces overlap, so what a batch holds is let out in parts of a few MB.
+            cuts = np.flatnonzero(np.diff(np.cumsum(np.bincount(np.repeat(np.arange(len(rows)), count), n + WINDOW, len(rows))) // COLLECTION)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True):
+                u, v = int(first[lo]), int(first[hi])
+                ends = (start[u:v] + n[u:v] + WINDOW - 1).tolist()
+                own = np.repeat(np.arange(lo, hi), count[lo:hi]).tolist()
+                found = [texts[o][x:y] for o, x, y in zip(own, start[u:v].tolist(), ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([x["anchor"] for x in ps], pa.int64()), pa.array([x["piece"] for x in ps], pa.int64()), pa.array([doc] * len(ps), pa.int64()), pa.array([h] * len(ps), pa.int64()),
-                    pa.array([x["start"] for x in ps], pa.int64()), pa.array([text[x["start"] : x["start"] + x["n"] + WINDOW - 1] for x in ps], pa.binary())], names=["anchor", "piece", "doc", "h", "start", "bytes"])
+                    p.field("anchor").slice(u, v - u), p.field("piece").slice(u, v - u), pa.array(doc[u:v]), pa.array(h[u:v]), pa.array(start[u:v]),
+                    pa.array(found, pa.binary())], names=["anchor", "piece", "doc", "h", "start", "bytes"])
 
     return joined.select("doc", "h", "text", "p").mapInArrow(run, "anchor long, piece long, doc long, h long, start long, bytes binary")
 
@@ -269,6 +294,10 @@ def _judged(contents: DataFrame) -> DataFrame:
     """
 
     def judge(rows: pa.Table) -> pa.RecordBatch:
+        key = rows.column("anchor").to_numpy(), rows.column("piece").to_numpy()
+        again = (key[0][1:] == key[0][:-1]) & (key[1][1:] == key[1][:-1])
+        if again.any():
+            rows = rows.take(np.flatnonzero(np.concatenate([[True], ~again])))
         doc, h, start = (rows.column(c).to_numpy() for c in ("doc", "h", "start"))
         data = rows.column("bytes").to_pylist()
         lo, hi = shared_span(data, rows.column("anchor").to_numpy().view(np.uint64))
@@ -311,7 +340,7 @@ def _judged(contents: DataFrame) -> DataFrame:
         if held:
             yield judge(pa.Table.from_batches(held))
 
-    return contents.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, piece long, gone binary")
+    return contents.repartition("anchor").sortWithinPartitions("anchor", "piece").mapInArrow(run, "anchor long, piece long, gone binary")
 
 
 def repeated(documents: DataFrame) -> DataFrame:
@@ -334,18 +363,27 @@ def repeated(documents: DataFrame) -> DataFrame:
     return first.unionByName(rest).groupBy("doc", "h").agg(F.collect_set(F.struct("start", "n", "gone")).alias("spans"))
 
 
-def removed_bytes(size: int, spans: list | None) -> np.ndarray:
-    """Whether each byte of a text is in a repeated window."""
-    delta = np.zeros(size + 1, np.int64)
-    for s in spans or ():
-        if s["gone"] is None:
-            delta[s["start"]] += 1
-            delta[s["start"] + s["n"] + WINDOW - 1] -= 1
-        else:
-            w = s["start"] + np.flatnonzero(np.unpackbits(np.frombuffer(s["gone"], np.uint8))[: s["n"]])
-            delta[w] += 1
-            delta[w + WINDOW] -= 1
-    return np.cumsum(delta[:-1]) > 0
+def removed_bytes(base: np.ndarray, spans: pa.ListArray) -> np.ndarray:
+    """Whether each byte of some texts in a row (text i from base[i] to base[i + 1]) is in a repeated window."""
+    delta = np.zeros(int(base[-1]) + 1, np.int32)
+    s = spans.flatten()
+    if len(s):
+        text = np.repeat(np.arange(len(spans)), spans.value_lengths().fill_null(0).to_numpy())
+        start, n = base[text] + s.field("start").to_numpy(), s.field("n").to_numpy().astype(np.int64)
+        gone = s.field("gone")
+        whole = gone.is_null().to_numpy(zero_copy_only=False)
+        np.add.at(delta, start[whole], 1)
+        np.add.at(delta, (start + n + WINDOW - 1)[whole], -1)
+        part = np.flatnonzero(~whole)
+        if len(part):
+            bits = gone.take(pa.array(part)).to_pylist()
+            end = np.cumsum([8 * len(x) for x in bits])
+            hit = np.flatnonzero(np.unpackbits(np.frombuffer(b"".join(bits), np.uint8)))
+            of = np.searchsorted(end, hit, "right")
+            at = start[part[of]] + hit - (end[of] - 8 * ((n[part[of]] + 7) // 8))
+            np.add.at(delta, at, 1)
+            np.add.at(delta, at + WINDOW, -1)
+    return np.cumsum(delta[:-1], dtype=np.int32) > 0
 
 
 def dedup(documents: DataFrame) -> DataFrame:
@@ -367,19 +405,19 @@ def _dedup(documents: DataFrame, columns: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, n_bytes, n_removed, n_spans = [], [], [], []
-            for text, s in zip(as_bytes(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
-                n_bytes.append(len(text))
-                if s:
-                    gone = removed_bytes(len(text), s)
-                    kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
-                    n_removed.append(int(gone.sum()))
-                    n_spans.append(int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum()))
-                else:
-                    kept.append(text)
-                    n_removed.append(0)
-                    n_spans.append(0)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64())], names=["row", *ADDED])
+            texts = as_bytes(batch.column("text"))
+            size = np.array([len(t) for t in texts], np.int64)
+            base = np.concatenate([[0], np.cumsum(size)])
+            gone = removed_bytes(base, batch.column("spans"))
+            left = np.frombuffer(b"".join(texts), np.uint8)[~gone]
+            removed = np.concatenate([[0], np.cumsum(gone, dtype=np.int64)])[base]
+            # A run opens where the byte before is left or belongs to another text.
+            opens = gone.copy()
+            opens[1:] &= ~gone[:-1]
+            opens[base[:-1][size > 0]] = gone[base[:-1][size > 0]]
+            runs = np.concatenate([[0], np.cumsum(opens, dtype=np.int64)])[base]
+            kept = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((base - removed).astype(np.int32)), pa.py_buffer(left)])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), kept, pa.array(size), pa.array(np.diff(removed)), pa.array(np.diff(runs))], names=["row", *ADDED])
 
     schema = f"row {keyed.schema['row'].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long"
     return joined.mapInArrow(run, schema)
