@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,17 +34,29 @@ def workdir(spark: SparkSession) -> str:
     return named
 
 
+#: The folder of each written table.
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def stash(df: DataFrame, sort_by: list[str] | None = None) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage ends there and survives lost executors.
 
-    The table is removed when the driver ends.
+    The table is removed when the driver ends, or by discard.
     """
     spark = df.sparkSession
     path = f"{workdir(spark)}/graphloom-{uuid.uuid4().hex}"
     out = df.sortWithinPartitions(*sort_by) if sort_by else df
     out.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that stash returned and that nothing reads any more: all made from them has been written itself."""
+    for t in tables:
+        _remove(t.sparkSession, _written.pop(t))
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, small_batches, stash
+from .common import discard, doc_key, small_batches, stash
 from .textops import as_bytes, buffers, mix, prefix_hash, rolling_hash, span_hash
 
 WINDOW, GRAM = 100, 24
@@ -349,13 +349,15 @@ def repeated(documents: DataFrame) -> DataFrame:
     ``documents`` has (doc, h, text). gone is null where every window of the run is a repeat.
     """
     small_batches(documents.sparkSession)
-    places = stash(_pieces(documents))
+    every = stash(_pieces(documents))
     # Written, so that both sides of the join are plain exchanges, whose large partitions Spark splits: one anchor may have a third of the rows.
-    often = stash(places.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor"))
-    places = stash(places.join(often, "anchor", "left_semi"))
+    often = stash(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor"))
+    places = stash(every.join(often, "anchor", "left_semi"))
+    discard(every, often)
     merged = stash(places.groupBy("anchor", "piece").agg(F.min(F.struct("doc", "h", "start", "n")).alias("f"), F.count(F.lit(1)).alias("c")).select("anchor", "piece", "f.*", "c"))
     several = stash(merged.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("anchor"))
     judged = stash(_judged(_contents(documents, merged.join(several, "anchor", "left_semi").drop("c"))))
+    discard(several)
     kept = F.regexp_replace(F.hex("gone"), "0", "") != ""
     first = merged.join(judged.filter(kept), ["anchor", "piece"]).select("doc", "h", "start", "n", "gone")
     again = merged.filter("c > 1").select("anchor", "piece", F.struct("doc", "h", "start").alias("f"))
