@@ -407,19 +407,20 @@ def _dedup(documents: DataFrame, columns: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            size = np.array([len(t) for t in texts], np.int64)
-            base = np.concatenate([[0], np.cumsum(size)])
-            gone = removed_bytes(base, batch.column("spans"))
-            left = np.frombuffer(b"".join(texts), np.uint8)[~gone]
-            removed = np.concatenate([[0], np.cumsum(gone, dtype=np.int64)])[base]
-            # A run opens where the byte before is left or belongs to another text.
-            opens = gone.copy()
-            opens[1:] &= ~gone[:-1]
-            opens[base[:-1][size > 0]] = gone[base[:-1][size > 0]]
-            runs = np.concatenate([[0], np.cumsum(opens, dtype=np.int64)])[base]
-            kept = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((base - removed).astype(np.int32)), pa.py_buffer(left)])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), kept, pa.array(size), pa.array(np.diff(removed)), pa.array(np.diff(runs))], names=["row", *ADDED])
+            texts, rows, spans = as_bytes(batch.column("text")), batch.column("row"), batch.column("spans")
+            for lo, hi in buffers(texts):
+                size = np.array([len(t) for t in texts[lo:hi]], np.int64)
+                base = np.concatenate([[0], np.cumsum(size)])
+                gone = removed_bytes(base, spans.slice(lo, hi - lo))
+                left = np.frombuffer(b"".join(texts[lo:hi]), np.uint8)[~gone]
+                removed = np.searchsorted(np.flatnonzero(gone), base)
+                # A run opens where the byte before is left or belongs to another text.
+                opens = gone.copy()
+                opens[1:] &= ~gone[:-1]
+                opens[base[:-1][size > 0]] = gone[base[:-1][size > 0]]
+                runs = np.searchsorted(np.flatnonzero(opens), base)
+                kept = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((base - removed).astype(np.int32)), pa.py_buffer(left)])
+                yield pa.RecordBatch.from_arrays([rows.slice(lo, hi - lo), kept, pa.array(size), pa.array(np.diff(removed)), pa.array(np.diff(runs))], names=["row", *ADDED])
 
     schema = f"row {keyed.schema['row'].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long"
     return joined.mapInArrow(run, schema)
