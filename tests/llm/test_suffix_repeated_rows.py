@@ -1,7 +1,10 @@
 import hashlib
 import random
 
-from graphloom.llm import suffix
+import numpy as np
+import pyarrow as pa
+
+from graphloom.llm import common, suffix
 
 
 def brute(rows, width=100):
@@ -28,3 +31,22 @@ def test_repeated_rows_with_near_copies(spark):
     assert len(out) == len(rows)
     assert {(r.doc_id, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out} == {(d, sha) for (d, _), sha in want.items()}
     assert all(r.n_removed == 0 for r in out if r.doc_id == 1)
+
+
+def test_runs_end_with_their_text():
+    """Texts that lie side by side in a buffer, the first removed up to its end and the next from its start."""
+    spans = pa.array([[{"start": 0, "n": 1, "gone": None}], None, [{"start": 0, "n": 3, "gone": bytes([0b10100000])}], []],
+                     pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int16()), ("gone", pa.binary())])))
+    base = np.cumsum([0, 100, 0, 105, 7])
+    for at, want in ((0, [True] * 100 + [True] * 102 + [False] * 10), (1, [True] * 102 + [False] * 10)):
+        gone = suffix.removed_bytes(base[at:] - base[at], spans.slice(at))
+        assert gone.tolist() == want
+
+
+def test_discarded_tables_are_gone(spark):
+    t = common.stash(spark.range(3))
+    path = common._written[t]
+    assert t.count() == 3
+    common.discard(t)
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm)
