@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions.scalar import register_function
 from .operators import algorithms as alg
+from .operators import quantizer
 from .plans.builder import QueryBuilder
 from .plans.compiler import has_aggregate
 from .plans.parser import QueryError, names, parse
@@ -151,7 +152,9 @@ class GraphEngine:
             raise QueryError(f"{name} exists")
         entry = s | {"type": "vector" if s["what"] == "vector" else "composite" if len(s["props"]) > 1 else "property"}
         if s["what"] == "vector":
-            entry["metric"] = str(next((v[1] for k, v in s["options"].items() if k == "metric"), "L2"))
+            options = {k.lower(): v[1] for k, v in s["options"].items()}
+            entry["metric"] = str(options.get("metric", "L2"))
+            entry["dim"] = options.get("dimension", options.get("dim"))
         if s["what"] == "constraint":
             self._check(name, entry)
         store[name] = entry
@@ -222,13 +225,27 @@ class GraphEngine:
         return self.indexes[name]
 
     def _vector(self, name: str, k: int, query: list[float]) -> DataFrame:
+        """The k nearest nodes: of all, or, if the index was trained on this version of the graph, of a shortlist by codes."""
         c = self._index(name)
-        return alg.nearest(self.graph.scan([c["label"]])[0], c["props"][0], query, k, c["metric"])
+        nodes = self.graph.scan([c["label"]])[0]
+        book, codes, version = c.get("trained", (None, None, None))
+        if version is self.graph and book.dim == len(query):
+            near = book.shortlist(codes, query, max(quantizer.SHORTLIST, quantizer.PER_RESULT * k))
+            nodes = nodes.join(F.broadcast(near), "id", "left_semi")
+        return alg.nearest(nodes, c["props"][0], query, k, c["metric"])
 
     def _train(self, name: str) -> DataFrame:
+        """Learn a codebook and encode all vectors. What is written afterwards makes the search exact until the next call."""
         c = self._index(name)
-        empty = self.graph.scan([c["label"]])[0].isEmpty()
-        return self._rows([("Skipped (Empty Data)" if empty else "Exact search needs no training",)], "status string")
+        nodes, _ = self.graph.scan([c["label"]])
+        prop = c["props"][0]
+        first = nodes.filter(F.col(prop).isNotNull()).select(F.size(prop).alias("d")).head() if c["dim"] is None and prop in nodes.columns else None
+        dim = first["d"] if first else c["dim"]
+        book = quantizer.Codebook(quantizer.usable(nodes, prop, int(dim)), int(dim), c["metric"]) if dim and prop in nodes.columns else None
+        if book is None or not book.trained_on:
+            return self._rows([("Skipped (Empty Data)",)], "status string")
+        c["trained"] = book, self.settle(book.codes(quantizer.usable(nodes, prop, book.dim))), self.graph
+        return self._rows([("Success",)], "status string")
 
     def _label_index(self, name: str = "label") -> DataFrame:
         self.indexes[name] = {"type": "label", "label": "", "props": []}

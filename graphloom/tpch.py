@@ -202,10 +202,12 @@ def _on_graph(label: str, kind: str, call: str, weight: str | None = None) -> Ca
     return run
 
 
-def _vector(metric: str) -> Callable[[SparkSession, str], DataFrame]:
+def _vector(metric: str, train: bool = False) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         e = GraphEngine(spark, tpch_graph(spark, d))
         e.cypher(f"CREATE VECTOR INDEX vec ON :Vec(embedding) OPTIONS {{dimension: 64, metric: '{metric}'}}")
+        if train:
+            e.procedure("db.index.vector.train", ["vec"])
         q = [1.0 if i % 2 == 0 else -0.5 for i in range(64)]
         return e.procedure("db.index.vector.queryNodes", ["vec", 10, q]).select((F.col("node") - F.lit(8 << 40)).alias("vec_id"), F.round("score", 6).alias("score"))
 
@@ -376,6 +378,7 @@ WRITES: dict[str, tuple[list[str], str]] = {
     "stats": (["MATCH (n:Nation) RETURN count(n) AS n", "CALL dbms.resetStats()", "MATCH (n:Nation) RETURN count(n) AS n", "MATCH (n:Nation) RETURN count(n) AS n", "CALL dbms.showStats() YIELD category, metric, value RETURN category, metric, value"],
         "SELECT category, metric, value FROM (VALUES ('engine', 'queries', '3'), ('engine', 'writes', '0'), ('engine', 'cache_hits', '2')) t(category, metric, value)"),
     "vector_train": (["CREATE VECTOR INDEX vec ON :Nothing(v) OPTIONS {dimension: 2, metric: 'L2'}", "CALL db.index.vector.train('vec') YIELD status RETURN status"], "SELECT 'Skipped (Empty Data)' AS status"),
+    "vector_trained": (["CREATE VECTOR INDEX vec ON :Vec(embedding) OPTIONS {dimension: 64, metric: 'L2'}", "CALL db.index.vector.train('vec') YIELD status RETURN status"], "SELECT 'Success' AS status"),
     "drop_projection": (["CALL gds.graph.project('g', 'Supplier', 'BASED_IN')", "CALL gds.graph.drop('g') YIELD name RETURN name"], "SELECT 'g' AS name"),
     "projection": (["CALL gds.graph.project('g', '', 'PLACED') YIELD name, nodeCount, edgeCount RETURN name, nodeCount, edgeCount"],
         "SELECT 'g' AS name, (SELECT sum(n) FROM (SELECT count(*) AS n FROM region UNION ALL SELECT count(*) FROM nation UNION ALL SELECT count(*) FROM customer UNION ALL SELECT count(*) FROM supplier UNION ALL SELECT count(*) FROM part UNION ALL SELECT count(*) FROM orders UNION ALL SELECT count(*) FROM events UNION ALL SELECT count(*) FROM embeddings))::BIGINT AS nodeCount, (SELECT count(*) FROM orders) AS edgeCount"),
@@ -394,6 +397,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["g_pagerank_settled"] = _on_graph("", "PLACED", "CALL gds.pageRank.stream('g', 100) YIELD nodeId, score RETURN nodeId, round(score * 1000000, 1) AS score")
     out |= {"g_dijkstra": _dijkstra, "g_find_all_paths": _all_paths, "g_algo_shortest_path": _shortest(False), "g_get_shortest_path": _shortest(True), "g_bfs": _native}
     out |= {"g_vector_topk": _vector("IP"), "g_vector_l2": _vector("L2"), "g_vector_cosine": _vector("Cosine")}
+    out |= {f"g_vector_quantized_{m.lower()}": _vector(m, True) for m in ("IP", "L2", "Cosine")}
     out |= {"g_load_csv": _load_csv(True), "g_load_csv_lists": _load_csv(False), "g_import_csv": _import("csv"), "g_import_jsonl": _import("jsonl"), "g_import_lenient": _import("csv", True)}
     out |= {"g_extensions": _with_extensions, "g_api": _api}
     out["g_profile"] = lambda spark, d: _script(PROFILED)(spark, d).select("phase", (F.col("total_time_ms") >= 0).alias("timed"), F.col("calls").cast("long").alias("calls"))
