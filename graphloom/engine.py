@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import time
+import uuid
 from collections import OrderedDict
 from collections.abc import Callable
 
@@ -107,7 +108,12 @@ class GraphEngine:
             raise
 
     def settle(self, df: DataFrame) -> DataFrame:
-        """Checkpoint in the folder the cluster names. Only a local master, which shares everything, gets a temporary
+        """Checkpoint in the shared folder."""
+        self.shared_folder()
+        return df.checkpoint()
+
+    def shared_folder(self) -> str:
+        """The folder the cluster names for checkpoints. Only a local master, which shares everything, gets a temporary
         folder where none is named."""
         sc = self.spark.sparkContext
         if sc.getCheckpointDir() is None:
@@ -115,7 +121,7 @@ class GraphEngine:
             if named is None and not sc.master.startswith("local"):
                 raise QueryError("set spark.checkpoint.dir to a folder that all executors and the driver share")
             sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-"))
-        return df.checkpoint()
+        return sc.getCheckpointDir()
 
     def _rows(self, rows: list, schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)
@@ -227,12 +233,10 @@ class GraphEngine:
     def _vector(self, name: str, k: int, query: list[float]) -> DataFrame:
         """The k nearest nodes: of all, or, if the index was trained on this version of the graph, of a shortlist by codes."""
         c = self._index(name)
-        nodes = self.graph.scan([c["label"]])[0]
         book, codes, version = c.get("trained", (None, None, None))
         if version is self.graph and book.dim == len(query):
-            near = book.shortlist(codes, query, max(quantizer.SHORTLIST, quantizer.PER_RESULT * k))
-            nodes = nodes.join(F.broadcast(near), "id", "left_semi")
-        return alg.nearest(nodes, c["props"][0], query, k, c["metric"])
+            return alg.nearest(book.candidates(codes, query, k), "vec", query, k, c["metric"])
+        return alg.nearest(self.graph.scan([c["label"]])[0], c["props"][0], query, k, c["metric"])
 
     def _train(self, name: str) -> DataFrame:
         """Learn a codebook and encode all vectors. What is written afterwards makes the search exact until the next call."""
@@ -244,7 +248,8 @@ class GraphEngine:
         book = quantizer.Codebook(quantizer.usable(nodes, prop, int(dim)), int(dim), c["metric"]) if dim and prop in nodes.columns else None
         if book is None or not book.trained_on:
             return self._rows([("Skipped (Empty Data)",)], "status string")
-        c["trained"] = book, self.settle(book.codes(quantizer.usable(nodes, prop, book.dim))), self.graph
+        path = f"{self.shared_folder()}/vectors-{uuid.uuid4().hex}"
+        c["trained"] = book, book.write(quantizer.usable(nodes, prop, book.dim), path), self.graph
         return self._rows([("Success",)], "status string")
 
     def _label_index(self, name: str = "label") -> DataFrame:

@@ -1,7 +1,8 @@
 """Product quantisation: vectors as one byte for each few dimensions, ranked by tables of distances to codewords.
 
-A codebook is learned by k-means on a bounded sample, on the driver. Codes are made once, in Arrow batches; a search reads
-codes only, adds up table entries inside the JVM, and hands its shortlist to the exact search.
+A codebook is learned by k-means on a bounded sample, on the driver. Codes are made once, in Arrow batches, and written
+beside the vectors in the order of ids. A search reads the column of codes, adds up table entries inside the JVM, and
+ranks its shortlist exactly, reading vectors only from pages that hold one of its ids.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Vectors that train a codebook, codewords of a part, dimensions of a part, rounds of k-means.
 SAMPLE, CODEWORDS, WIDTH, ROUNDS = 5000, 256, 4, 25
 #: Least shortlist of a search, and its least multiple of k.
 SHORTLIST, PER_RESULT = 100, 20
+#: Ids in one list of a filter: as many as Parquet readers are given one by one by default.
+LISTED = 10
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 0) -> np.ndarray:
@@ -63,8 +67,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def usable(nodes: DataFrame, prop: str, dim: int) -> DataFrame:
     """(id, vec) of the nodes whose vector has dim components, none null or non-finite."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    v = F.transform(F.col(prop), lambda x: x.cast("double"))
-    return nodes.select("id", v.alias("vec")).filter(F.col("vec").isNotNull() & (F.size("vec") == dim) & F.forall("vec", fine))
+    kind = "float" if isinstance(nodes.schema[prop].dataType.elementType, T.FloatType) else "double"
+    return nodes.select("id", F.transform(F.col(prop), lambda x: x.cast(kind)).alias("vec")).filter(F.col("vec").isNotNull() & (F.size("vec") == dim) & F.forall("vec", fine))
 
 
 class Codebook:
@@ -81,18 +85,24 @@ class Codebook:
         self.words = [kmeans(x[:, p], CODEWORDS, seed=i) for i, p in enumerate(self.parts)] if len(x) else []
 
     def codes(self, vectors: DataFrame) -> DataFrame:
-        """(id, code): the number of the nearest codeword for every part of every vector."""
+        """(id, code, vec): the number of the nearest codeword for every part of every vector."""
         dim, cosine, parts, words = self.dim, self.metric == "COSINE", self.parts, self.words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
                 x = _unit(x) if cosine else x
                 own = np.stack([nearest_centre(x[:, p], w)[0] for p, w in zip(parts, words, strict=True)], 1).astype(np.int16)
                 offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(parts))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, pa.array(own.ravel()))], names=["id", "code"])
+                code = pa.ListArray.from_arrays(offsets, pa.array(own.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), code, batch.column("vec")], names=["id", "code", "vec"])
 
-        return vectors.mapInArrow(run, "id long, code array<short>")
+        return vectors.mapInArrow(run, f"id long, code array<short>, vec {vectors.schema['vec'].dataType.simpleString()}")
+
+    def write(self, vectors: DataFrame, path: str) -> DataFrame:
+        """The codes, written in the order of ids."""
+        self.codes(vectors).repartitionByRange("id").sortWithinPartitions("id").write.parquet(path)
+        return vectors.sparkSession.read.parquet(path)
 
     def table(self, query: list[float]) -> list[float]:
         """What each codeword adds to the distance from the query, CODEWORDS entries a part."""
@@ -108,3 +118,11 @@ class Codebook:
         table = F.from_json(F.lit(json.dumps(self.table(query))), "array<double>")
         terms = F.transform("code", lambda c, i: F.element_at(table, i * CODEWORDS + c + 1))
         return codes.select("id", F.aggregate(terms, F.lit(0.0), lambda a, x: a + x).alias("d")).orderBy("d", "id").limit(n).select("id")
+
+    def candidates(self, codes: DataFrame, query: list[float], k: int) -> DataFrame:
+        """(id, vec) of a shortlist for the k nearest. Its ids come to the driver: PER_RESULT a result, SHORTLIST at least."""
+        ids = sorted(r["id"] for r in self.shortlist(codes, query, max(SHORTLIST, PER_RESULT * k)).collect())
+        wanted = F.lit(False)
+        for a in range(0, len(ids), LISTED):
+            wanted = wanted | F.col("id").isin(ids[a : a + LISTED])
+        return codes.filter(wanted).select("id", "vec")
