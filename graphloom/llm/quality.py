@@ -154,9 +154,13 @@ def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_rejected(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """documents' columns of the rows scoring at least ``threshold``."""
+    """documents' columns, whatever their names, of the rows scoring at least ``threshold``.
+
+    Null and empty texts score as empty ones do, repeated rows alike; null ids have no label and are scored like others.
+    An empty table gives none; without labels of both classes all rows get one score, the smoothed share of label 1.
+    """
     model = fit(documents, labels)
-    cols = documents.columns
+    cols = [F.col(f"`{c}`") for c in documents.columns]
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "")
     packed = documents.select(F.struct(*cols).alias("_row"), "text", words.alias("_w"))
     # A generator of one row is a barrier: else the optimizer would copy the statistics into every rule of the predicate.

@@ -166,8 +166,8 @@ def test_rules_as_columns(spark):
     margin = intercept + sum(w * np.all([(x[:, f] <= c) if below else (x[:, f] > c) for f, below, c in rule], 0) for w, rule in rules)
     score = {r.doc_id: r.score for r in quality.score(docs, (intercept, rules), ["doc_id"]).collect()}
     assert np.allclose([score[i] for i in range(len(texts))], 1 / (1 + np.exp(-margin)))
-    kept = quality.drop_rejected(docs.withColumn("_score", F.lit("mine")), labels)
-    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(texts)) if score[i] >= quality.THRESHOLD] and kept.columns == ["doc_id", "text", "_score"]
+    kept = quality.drop_rejected(docs.withColumn("_score", F.lit("mine")).withColumn("a.b", F.lit(1)).withColumn("_row", F.lit(2)), labels)
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(texts)) if score[i] >= quality.THRESHOLD] and kept.columns == ["doc_id", "text", "_score", "a.b", "_row"]
 
 
 def plain_targets(sizes, weights=(5, 2, 1), most=3.0):
