@@ -142,13 +142,17 @@ def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """documents' columns, hit words cut out of the texts, n_chars counted anew where a text changed."""
+    """documents' columns, whatever their names: hit words cut out of the texts, n_chars counted anew where a text changed.
+
+    A document left without a word goes with its row; one that had none before, null and empty texts too, stays as it is.
+    Null ids and repeated rows are treated like others, an empty benchmark changes nothing, an empty table gives none.
+    """
     stem = temp_name(documents.columns, "_leak") + "_"
     out = decontaminate(documents, benchmark, remove="spans", prefix=stem)
     if "n_chars" in documents.columns:
         changed = F.when(F.col(stem + "contaminated"), F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", changed.cast(documents.schema["n_chars"].dataType))
-    return out.select(documents.columns)
+    return out.select(*(F.col(f"`{c}`") for c in documents.columns))
 
 
 SQL = r"""

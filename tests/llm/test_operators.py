@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import ann, chat, decontam, jaccard, langid, mixing, quality, suffix, toxicity
 
@@ -124,3 +125,18 @@ def test_ann(spark):
         hit, total = hit + len(set(want) & {v for _, v, _ in got[q]}), total + 20
     assert hit / total >= 0.9 and ann.report(e.limit(0)).count() == 0
     assert ann.report(spark.createDataFrame(rows[:3], e.schema)).count() == 2
+
+
+def test_clean_keeps_rows_and_columns(spark):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(1, f"before {item} after", 5, "x"), (1, f"before {item} after", 5, "x"), (2, item, 5, "x"), (None, "left alone", 99, None), (3, None, None, "y"), (4, "", 0, "z"), (5, "?!", 2, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, `a.b` string").withColumn("contaminated", F.lit("mine"))
+    benchmark = spark.createDataFrame([(None, item), ("q", None)], "item_id string, text string")
+    got = decontam.clean(docs, benchmark)
+    assert got.columns == docs.columns
+    kept = sorted(map(tuple, got.collect()), key=str)
+    cut = next(r[1] for r in kept if r[0] == 1)
+    assert cut.split() == ["before", "after"]
+    assert kept == sorted([(1, cut, len(cut), "x", "mine")] * 2 + [(None, "left alone", 99, None, "mine"), (3, None, None, "y", "mine"), (4, "", 0, "z", "mine"), (5, "?!", 2, "z", "mine")], key=str)
+    assert sorted(map(tuple, decontam.clean(docs, benchmark.limit(0)).collect()), key=str) == sorted((r + ("mine",) for r in rows), key=str)
+    assert decontam.clean(docs.limit(0), benchmark).count() == 0
