@@ -148,11 +148,13 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null ids and repeated rows are treated like others, an empty benchmark changes nothing, an empty table gives none.
     """
     stem = temp_name(documents.columns, "_leak") + "_"
-    out = decontaminate(documents, benchmark, remove="spans", prefix=stem)
+    # Arrow's operator looks columns up by name, where a dot or a backtick would be read as syntax.
+    plain = [f"{stem}{i}" if set(c) & set(".`") else c for i, c in enumerate(documents.columns)]
+    out = decontaminate(documents.toDF(*plain), benchmark, remove="spans", prefix=stem)
     if "n_chars" in documents.columns:
         changed = F.when(F.col(stem + "contaminated"), F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", changed.cast(documents.schema["n_chars"].dataType))
-    return out.select(*(F.col(f"`{c}`") for c in documents.columns))
+    return out.select(*plain).toDF(*documents.columns)
 
 
 SQL = r"""
