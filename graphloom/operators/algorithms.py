@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,42 +67,112 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return both.filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("m"))
 
 
-#: Rows that the searches of one batch of sources may hold together, if every source reaches every node.
+#: Rows that the searches of one batch of sources may hold together.
 HELD = 1 << 28
 
 
-def batches(vertices: DataFrame, n: int, samples: int, settle: Settle) -> list[DataFrame]:
-    """The sources - all, or ``samples`` by a seeded hash - in batches that hold at most HELD rows with what they reach."""
-    sources = vertices if not samples or samples >= n else vertices.orderBy(F.xxhash64(F.lit(42), "id")).limit(samples)
-    parts = -(-min(samples or n, n) * n // HELD)
+def batches(sources: DataFrame, held: int, settle: Settle) -> list[DataFrame]:
+    """The sources, whose searches hold ``held`` rows together, in batches of at most HELD."""
+    parts = -(-held // HELD)
     if parts <= 1:
-        return [sources]
-    sources = settle(sources.withColumn("part", F.pmod(F.xxhash64(F.lit(43), "id"), F.lit(parts))))
+        return [sources.select("id")]
+    sources = settle(sources.select("id", F.pmod(F.xxhash64(F.lit(43), "id"), F.lit(parts)).alias("part")))
     return [sources.filter(F.col("part") == p).select("id") for p in range(parts)]
 
 
+def folded(pairs: DataFrame, settle: Settle) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """Nodes of one neighbour folded into it, round by round: (rounds, rest, pairs between the rest).
+
+    A round is (id, parent, w, down, squares), the rest (id, w, down, squares): w counts a node and what is folded into
+    it, down sums the distances to these, squares sums the w squared of what was folded into the node itself. Of the
+    rest only what lies on or between cycles has pairs. A node without an edge is in neither.
+    """
+    rest = settle(pairs.select(F.col("a").alias("id")).distinct().select("id", F.lit(1.0).alias("w"), F.lit(0.0).alias("down"), F.lit(0.0).alias("squares")))
+    rounds: list[DataFrame] = []
+    while True:
+        ends = pairs.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("parent"), F.count(F.lit(1)).alias("n")).filter("n = 1").select("id", "parent")
+        # Of two that have only each other the least stays.
+        mutual = ends.select(F.col("parent").alias("id"), F.col("id").alias("parent")).filter("parent > id")
+        leaves = settle(ends.join(mutual, ["id", "parent"], "left_anti").join(rest, "id"))
+        if leaves.isEmpty():
+            return rounds, rest, pairs
+        rounds.append(leaves)
+        gone = leaves.select("id")
+        got = leaves.groupBy(F.col("parent").alias("id")).agg(F.sum("w").alias("gw"), F.sum(F.col("down") + F.col("w")).alias("gd"), F.sum(F.col("w") * F.col("w")).alias("gs"))
+        add = lambda c, g: (F.col(c) + F.coalesce(g, F.lit(0.0))).alias(c)
+        rest = settle(rest.join(gone, "id", "left_anti").join(got, "id", "left").select("id", add("w", "gw"), add("down", "gd"), add("squares", "gs")))
+        pairs = settle(pairs.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b", "m"))
+
+
+def unfolded(rounds: list[DataFrame], rest: DataFrame, settle: Settle) -> DataFrame:
+    """(id, w, squares, size, far) of all nodes with an edge, from the same columns of the rest: size counts a node's
+    component, far sums its distances. From a parent to its leaf, w distances shrink by one and the others grow."""
+    for leaves in reversed(rounds):
+        parents = rest.select(F.col("id").alias("parent"), "size", F.col("far").alias("from"))
+        new = leaves.join(parents, "parent").select("id", "w", "squares", "size", (F.col("from") + F.col("size") - 2 * F.col("w")).alias("far"))
+        rest = settle(rest.unionByName(new))
+    return rest
+
+
+def core_batches(core: DataFrame, pairs: DataFrame, settle: Settle) -> list[DataFrame]:
+    """All nodes of the core as sources, in batches: a search stays in its component."""
+    n = core.count()
+    if n * n <= HELD:
+        return batches(core, n * n, settle)
+    sizes = connected(core, pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), settle).groupBy("componentId").agg(F.count(F.lit(1)).alias("n"))
+    return batches(core, int(sizes.agg(F.sum(F.col("n").cast("double") * F.col("n"))).head()[0]), settle)
+
+
+def sampled(vertices: DataFrame, pairs: DataFrame, samples: int, settle: Settle) -> list[DataFrame]:
+    """``samples`` sources, by a seeded hash, in batches."""
+    sources = vertices.orderBy(F.xxhash64(F.lit(42), "id")).limit(samples)
+    return batches(sources, samples * pairs.select("a").distinct().count(), settle)
+
+
+def dependencies(sources: DataFrame, pairs: DataFrame, weights: DataFrame, settle: Settle) -> tuple[DataFrame, DataFrame]:
+    """(id, d) and (s, size): how much the shortest paths from the sources depend on a node, and what a source reaches;
+    nodes count ``weights`` (id, w) times, as sources and as ends."""
+    ends = weights.select(F.col("id").alias("v"), "w")
+    levels = [settle(x.join(ends, "v")) for x in distances(sources, pairs, settle)]
+    size = settle(_all(x.groupBy("s").agg(F.sum("w").alias("size")) for x in levels).groupBy("s").agg(F.sum("size").alias("size")))
+    delta, out = None, []
+    for far, near in zip(reversed(levels), reversed(levels[:-1]), strict=False):
+        below = far.select("s", F.col("v").alias("x"), F.col("sigma").alias("sx"), F.col("w").alias("wx"))
+        below = below.join(delta, ["s", "x"], "left") if delta is not None else below.withColumn("d", F.lit(0.0))
+        step = near.select("s", "v", "sigma").join(pairs, F.col("v") == F.col("a")).withColumnRenamed("b", "x").join(below, ["s", "x"])
+        step = settle(step.groupBy("s", "v").agg(F.sum(F.col("sigma") * F.col("m") / F.col("sx") * (F.col("wx") + F.coalesce("d", F.lit(0.0)))).alias("d")))
+        delta = step.select("s", F.col("v").alias("x"), "d")
+        out.append(step.filter("s <> v").join(weights.withColumnRenamed("id", "s"), "s").groupBy(F.col("v").alias("id")).agg(F.sum(F.col("d") * F.col("w")).alias("d")))
+    found = _all(out) if out else sources.select("id", F.lit(0.0).alias("d")).limit(0)
+    return settle(found.groupBy("id").agg(F.sum("d").alias("d"))), size
+
+
+def _all(tables: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def betweenness(vertices: DataFrame, edges: DataFrame, settle: Settle, samples: int = 0) -> DataFrame:
-    """(nodeId, score): Brandes over both directions, halved; reciprocal edges are two ways. With ``samples``, from so
-    many sources (by a seeded hash) and scaled up. Sources are searched in batches."""
-    pairs, n = settle(both_ways(edges)), vertices.count()
-    scale = 0.5 * n / samples if samples and samples < n else 0.5
-    total = None
-    for sources in batches(vertices, n, samples, settle):
-        levels, delta, batch = distances(sources, pairs, settle), None, None
-        for far, near in zip(reversed(levels), reversed(levels[:-1]), strict=False):
-            below = far.select("s", F.col("v").alias("w"), F.col("sigma").alias("sw"))
-            below = below.join(delta, ["s", "w"], "left") if delta is not None else below.withColumn("d", F.lit(0.0))
-            step = near.join(pairs, near["v"] == pairs["a"]).withColumnRenamed("b", "w").join(below, ["s", "w"])
-            step = settle(step.groupBy("s", "v").agg(F.sum(F.col("sigma") * F.col("m") / F.col("sw") * (1 + F.coalesce("d", F.lit(0.0)))).alias("d")))
-            delta = step.select("s", F.col("v").alias("w"), "d")
-            part = step.filter("s <> v").groupBy(F.col("v").alias("id")).agg(F.sum("d").alias("d"))
-            batch = part if batch is None else batch.unionByName(part)
-        if batch is not None:
-            batch = settle(batch.groupBy("id").agg(F.sum("d").alias("d")))
-            total = batch if total is None else total.unionByName(batch)
-    if total is None:
-        return vertices.select(F.col("id").alias("nodeId"), F.lit(0.0).alias("score"))
-    scores = total.groupBy("id").agg((F.sum("d") * scale).alias("score"))
+    """(nodeId, score): Brandes over both directions, halved; reciprocal edges are two ways.
+
+    Nodes of one neighbour are folded first: paths from and to what is folded into a node pass through it, which is
+    counted, not searched. The core that is left is searched from every node, in batches, each weighing what is folded
+    into it. With ``samples`` all is searched, from so many sources (by a seeded hash), and scaled up."""
+    pairs = settle(both_ways(edges))
+    if samples and samples < (n := vertices.count()):
+        ones = vertices.select("id", F.lit(1.0).alias("w"))
+        found = [dependencies(sources, pairs, ones, settle)[0] for sources in sampled(vertices, pairs, samples, settle)]
+        scores = _all(found).groupBy("id").agg((F.sum("d") * (0.5 * n / samples)).alias("score"))
+    else:
+        rounds, rest, pairs = folded(pairs, settle)
+        core = settle(rest.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi"))
+        found = [dependencies(sources, pairs, core.select("id", "w"), settle) for sources in core_batches(core, pairs, settle)] if not core.isEmpty() else []
+        rest = rest.select("id", "w", "squares", F.col("w").alias("size"), F.lit(0.0).alias("far"))
+        if found:
+            rest = rest.drop("size").join(_all(x for _, x in found).withColumnRenamed("s", "id"), "id", "left").withColumn("size", F.coalesce("size", "w"))
+        below = F.col("w") - 1
+        scores = unfolded(rounds, rest, settle).select("id", ((below * below - F.col("squares")) / 2 + below * (F.col("size") - F.col("w"))).alias("score"))
+        if found:
+            scores = scores.unionByName(_all(x for x, _ in found).select("id", (F.col("d") / 2).alias("score"))).groupBy("id").agg(F.sum("score").alias("score"))
     return vertices.join(scores, "id", "left").select(F.col("id").alias("nodeId"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -112,7 +183,7 @@ def closeness(vertices: DataFrame, edges: DataFrame, settle: Settle, samples: in
     node's score is estimated from its distances to those of them that reach it."""
     pairs, n = settle(both_ways(edges)), vertices.count()
     who, sums = "v" if samples and samples < n else "s", None
-    for sources in batches(vertices, n, samples, settle):
+    for sources in sampled(vertices, pairs, samples, settle) if who == "v" else batches(vertices, n * n, settle):
         got = None
         for d, level in enumerate(distances(sources, pairs, settle)):
             part = level.groupBy(F.col(who).alias("s")).agg(F.count(F.lit(1)).alias("n")).select("s", "n", F.lit(d).alias("d"))
