@@ -179,19 +179,32 @@ def betweenness(vertices: DataFrame, edges: DataFrame, settle: Settle, samples:
 def closeness(vertices: DataFrame, edges: DataFrame, settle: Settle, samples: int = 0) -> DataFrame:
     """(nodeId, score): reachable nodes over the sum of their distances, undirected; 0 for isolated nodes.
 
-    Sources are searched in batches. With ``samples`` the searches start from so many nodes (by a seeded hash), and a
+    Nodes of one neighbour are folded first, and get their sum from that neighbour's; the core that is left is searched
+    from every node, in batches. With ``samples`` the searches start from so many nodes (by a seeded hash), and a
     node's score is estimated from its distances to those of them that reach it."""
-    pairs, n = settle(both_ways(edges)), vertices.count()
-    who, sums = "v" if samples and samples < n else "s", None
-    for sources in sampled(vertices, pairs, samples, settle) if who == "v" else batches(vertices, n * n, settle):
-        got = None
-        for d, level in enumerate(distances(sources, pairs, settle)):
-            part = level.groupBy(F.col(who).alias("s")).agg(F.count(F.lit(1)).alias("n")).select("s", "n", F.lit(d).alias("d"))
-            got = part if got is None else got.unionByName(part)
-        got = settle(got.filter("d > 0").groupBy("s").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("d")).alias("sum")))
-        sums = got if sums is None else sums.unionByName(got)
-    got = sums.groupBy("s").agg((F.sum("n") / F.sum("sum")).alias("score"))
-    return vertices.join(got, vertices["id"] == got["s"], "left").select(F.col("id").alias("nodeId"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    pairs = settle(both_ways(edges))
+    if samples and samples < vertices.count():
+        found = []
+        for sources in sampled(vertices, pairs, samples, settle):
+            levels = distances(sources, pairs, settle)[1:]
+            found += [settle(_all(x.groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.lit(float(d))).alias("far")) for d, x in enumerate(levels, 1)))] if levels else []
+        if not found:
+            return vertices.select(F.col("id").alias("nodeId"), F.lit(0.0).alias("score"))
+        scores = _all(found).groupBy("id").agg((F.sum("n") / F.sum("far")).alias("score"))
+    else:
+        rounds, rest, pairs = folded(pairs, settle)
+        core = settle(rest.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi"))
+        found = []
+        for sources in core_batches(core, pairs, settle) if not core.isEmpty() else []:
+            ends = core.select(F.col("id").alias("v"), "w", "down")
+            levels = [x.join(ends, "v").groupBy("s").agg(F.sum("w").alias("size"), F.sum(F.col("w") * d + F.col("down")).alias("far")) for d, x in enumerate(distances(sources, pairs, settle))]
+            found.append(settle(_all(levels).groupBy("s").agg(F.sum("size").alias("size"), F.sum("far").alias("far"))))
+        if found:
+            rest = rest.join(_all(found).withColumnRenamed("s", "id"), "id", "left").select("id", "w", "squares", F.coalesce("size", "w").alias("size"), F.coalesce("far", "down").alias("far"))
+        else:
+            rest = rest.select("id", "w", "squares", F.col("w").alias("size"), F.col("down").alias("far"))
+        scores = unfolded(rounds, rest, settle).select("id", ((F.col("size") - 1) / F.col("far")).alias("score"))
+    return vertices.join(scores, "id", "left").select(F.col("id").alias("nodeId"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def dijkstra(edges: DataFrame, source: int, target: int, settle: Settle) -> DataFrame:

@@ -9,7 +9,7 @@ from graphloom import tpch
 from graphloom.operators import algorithms as alg
 
 DATA = "/root/testdata/sf0.001"
-SCORES = ["betweenness"]
+SCORES = ["betweenness", "closeness"]
 
 
 def column(table, *names):
