@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import time
 import uuid
@@ -24,6 +26,14 @@ _WRITES = {"create_pattern", "merge", "set", "remove", "delete", "foreach"}
 _TYPES = {"BOOLEAN": ("boolean",), "INTEGER": ("int", "bigint"), "FLOAT": ("double", "float"), "STRING": ("string",), "LIST": ("array",), "MAP": ("map", "struct")}
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the JVM may be gone already  # noqa: BLE001
+        pass
+
+
 class GraphEngine:
     def __init__(self, spark: SparkSession, graph: PropertyGraph | None = None, read_only: bool = False):
         self.spark, self.graph, self.read_only = spark, graph or PropertyGraph(spark), read_only
@@ -112,6 +122,16 @@ class GraphEngine:
         self.shared_folder()
         return df.checkpoint()
 
+    def store(self, df: DataFrame) -> DataFrame:
+        """Write df as Parquet in the shared folder, which takes less room than a checkpoint, and read it back; what
+        Parquet can't hold is checkpointed. The table is removed when the driver ends."""
+        if not all(re.fullmatch(r"boolean|(?:tiny|small|big)?int|double|float|string|date", t) for _, t in df.dtypes):
+            return self.settle(df)
+        path = f"{self.shared_folder()}/written-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        atexit.register(_remove, self.spark, path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def shared_folder(self) -> str:
         """The folder the cluster names for checkpoints. Only a local master, which shares everything, gets a temporary
         folder where none is named."""

@@ -59,8 +59,10 @@ class Entity:
 
 
 class Frame:
-    def __init__(self, df: DataFrame, scope: dict[str, Entity], unit: bool = False, outer: list[str] | None = None):
-        self.df, self.scope, self.unit, self.outer = df, scope, unit, outer or []
+    """Rows and what their columns are; ``once`` is a node or relationship that no two rows share, where that is known."""
+
+    def __init__(self, df: DataFrame, scope: dict[str, Entity], unit: bool = False, outer: list[str] | None = None, once: str | None = None):
+        self.df, self.scope, self.unit, self.outer, self.once = df, scope, unit, outer or [], once
 
 
 def _same(pairs: list[tuple[str, str]]) -> Column:
@@ -160,7 +162,7 @@ class Compiler:
         self.used |= {x[1] for x in children(clauses) if x[0] == "var"}
         if any(c["kind"] in ("return", "with") and c["star"] or c["kind"] in ("set", "remove", "delete", "merge", "create_pattern", "foreach") for c in clauses):
             self.used |= names(clauses)
-        frame = self.unit()
+        frame, self.ending = self.unit(), clauses[-1]
         for c in clauses:
             frame = self.clause(frame, c)
             if c["kind"] == "return":
@@ -262,7 +264,7 @@ class Compiler:
         for k, v in n["props"].items():
             if not names(v):
                 only.df = only.df.filter(F.col(e.props[k]) == self.expr(v, only)) if k in e.props else only.df.filter(F.lit(False))
-        out = Frame(only.df if frame.unit else frame.df.crossJoin(only.df), frame.scope | {var: e}, False, frame.outer)
+        out = Frame(only.df if frame.unit else frame.df.crossJoin(only.df), frame.scope | {var: e}, False, frame.outer, var if frame.unit else None)
         return self.inline(out, var, {k: v for k, v in n["props"].items() if names(v)})
 
     def inline(self, frame: Frame, var: str, props: dict) -> Frame:
@@ -402,7 +404,9 @@ class Compiler:
         elif rel["var"]:
             scope[rel["var"]] = e
         hop = F.array(F.col(to) if forward else F.col(at)), F.array(F.struct(*(F.col(e.cols[k]).alias(k) for k in ("type", "src", "dst"))))
-        return self.arrive(Frame(out, scope, False, frame.outer), to, rel, way, n, b), hop
+        there = self.arrive(Frame(out, scope, False, frame.outer), to, rel, way, n, b)
+        there.once = rel["var"] if frame.once == a and way != "both" else None  # both nodes of a relationship are one row each
+        return there, hop
 
     @staticmethod
     def step(rel: dict, way: str, at: str, to: str, forward: bool) -> tuple[Column, Column]:
@@ -866,6 +870,10 @@ class Compiler:
                 return F.count(F.lit(1))
             if name == "count" and args[0][0] == "var" and args[0][1] in frame.scope and frame.scope[args[0][1]].kind == "node":
                 return AGGREGATES["count"](F.col(frame.scope[args[0][1]].cols["id"]), distinct)
+            if name == "count" and distinct and args[0][:2] == ("fn", "id") and args[0][2] == [("var", frame.once)] and frame.once not in local and frame.scope[frame.once].kind == "rel":
+                # Ids that were given are distinct, row by row; only relationships without one can share theirs.
+                given = F.col(frame.scope[frame.once].cols["eid"])
+                return F.count(given) + F.count_distinct(F.when(given.isNull(), self.expr(args[0], frame, local)))
             x, *more = (self.expr(a, frame, local) for a in args)
             if name in ("min", "max") and is_duration(self.type(args[0], frame, local, x)):
                 return (F.min_by if name == "min" else F.max_by)(x, F.when(x.isNotNull(), span(x)))

@@ -14,21 +14,23 @@ from .parser import QueryError
 
 class Writer(Compiler):
     def numbered(self, df: DataFrame, column: str) -> DataFrame:
-        """df with dense new ids, counted partition by partition, without a shuffle."""
+        """df, written once, with dense new ids, counted partition by partition, without a shuffle."""
         part, row = fresh("part"), fresh("row")
-        df = self.engine.settle(df.withColumns({part: F.spark_partition_id(), row: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+        df = self.engine.store(df.withColumns({part: F.spark_partition_id(), row: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
         sizes = {r[0]: r[1] for r in df.groupBy(part).count().collect()}
-        first, at = {}, self.engine.next_id
+        first, at = [self.engine.next_id] * (max(sizes, default=-1) + 1), self.engine.next_id
         for p in sorted(sizes):
             first[p], at = at, at + sizes[p]
         self.engine.next_id = at
         if not first:
             return df.withColumn(column, F.lit(0).cast("long")).drop(part, row)
-        lookup = F.create_map(*(F.lit(x) for kv in first.items() for x in kv))
-        return df.withColumn(column, (F.element_at(lookup, F.col(part)) + F.col(row)).cast("long")).drop(part, row)
+        return df.withColumn(column, (F.array(*map(F.lit, first))[F.col(part)] + F.col(row)).cast("long")).drop(part, row)
 
     def do_create_pattern(self, frame: Frame, c: dict) -> Frame:
-        frame = Frame(self.engine.settle(frame.df), dict(frame.scope), False, frame.outer)
+        # Numbering writes the frame before anything new is read, and once for each new node or relationship.
+        frame = Frame(frame.df, dict(frame.scope), False, frame.outer)
+        bound = all(n["var"] in frame.scope for p in c["patterns"] for n in p["nodes"])
+        alone = c is self.ending and bound and sum(len(p["rels"]) for p in c["patterns"]) == 1
         for p in c["patterns"]:
             vars_ = [n["var"] or fresh("anon") for n in p["nodes"]]
             for n, v in zip(p["nodes"], vars_, strict=True):
@@ -39,11 +41,14 @@ class Writer(Compiler):
                     raise QueryError("a new relationship needs one type")
                 s, d = (a, b) if rel["dir"] != "in" else (b, a)
                 e = Entity("rel", {k: fresh(k) for k in REL}, {k: fresh(k) for k in rel["props"]})
-                made = {e.cols["src"]: F.col(frame.scope[s].cols["id"]), e.cols["dst"]: F.col(frame.scope[d].cols["id"]), e.cols["type"]: F.lit(rel["types"][0])}
-                frame.df = self.engine.settle(self.numbered(frame.df.withColumns(made | {e.props[k]: self.expr(v, frame) for k, v in rel["props"].items()}), e.cols["eid"]))
+                made = {e.cols["src"]: F.col(frame.scope[s].cols["id"]), e.cols["dst"]: F.col(frame.scope[d].cols["id"])} | {e.props[k]: self.expr(v, frame) for k, v in rel["props"].items()}
+                # What nobody reads any more isn't written.
+                frame.df = self.numbered(frame.df.select(*(v.alias(k) for k, v in made.items())) if alone else frame.df.withColumns(made), e.cols["eid"]).withColumn(e.cols["type"], F.lit(rel["types"][0]))
+                ends = frame.scope[s].table, frame.scope[d].table
                 rows = frame.df.select(*(F.col(e.cols[k]).alias(k) for k in ("src", "dst")), F.col(e.cols["eid"]).alias(EID), *(F.col(x).alias(k) for k, x in e.props.items()))
                 have = self.graph.rels.get(rel["types"][0])
-                self.engine.graph = self.graph.with_rels(rel["types"][0], _widened(have.df, rows) if have else rows)
+                ends = tuple(x if not have or x == y else None for x, y in zip(ends, have.ends if have else ends, strict=True))
+                self.engine.graph = self.graph.with_rels(rel["types"][0], _widened(have.df, rows) if have else rows, ends)
                 if rel["var"]:
                     frame.scope[rel["var"]] = e
         return frame
@@ -51,7 +56,7 @@ class Writer(Compiler):
     def create_node(self, frame: Frame, n: dict, var: str) -> None:
         e = Entity("node", {"id": fresh("id"), "labels": fresh("labels")}, {k: fresh(k) for k in n["props"]})
         frame.df = frame.df.withColumns({e.cols["labels"]: F.array(*map(F.lit, n["labels"])).cast("array<string>")} | {e.props[k]: self.expr(v, frame) for k, v in n["props"].items()})
-        frame.df = self.engine.settle(self.numbered(frame.df, e.cols["id"]))
+        frame.df = self.numbered(frame.df, e.cols["id"])
         rows = frame.df.select(F.col(e.cols["id"]).alias("id"), *(F.col(x).alias(k) for k, x in e.props.items()))
         labels = tuple(sorted(n["labels"]))
         have = self.graph.nodes.get(labels)
@@ -106,6 +111,7 @@ class Writer(Compiler):
                 self.assign(frame, var, {name: F.lit(None)})
             else:
                 self.relabel(frame, var, lambda key, name=name: tuple(x for x in key if x != name))
+                self.engine.graph = self.graph.without_end(name)
         return frame
 
     def assign(self, frame: Frame, var: str, new: dict[str, Column]) -> None:

@@ -85,6 +85,10 @@ class PropertyGraph:
     def with_rels(self, kind: str, df: DataFrame | Callable[[], DataFrame], ends: tuple = (None, None), key: ForeignKey | None = None) -> PropertyGraph:
         return replace(self, rels=self.rels | {kind: RelTable(df, ends, key)})
 
+    def without_end(self, label: str) -> PropertyGraph:
+        """A version that doesn't hold every end of a relationship to have ``label``: some nodes have lost it."""
+        return replace(self, rels={k: RelTable(t._df, tuple(None if x == label else x for x in t.ends), t.key) for k, t in self.rels.items()})
+
     def only_table(self, labels: list[str]) -> str | None:
         """The label whose one table, of that label alone, holds all nodes that have ``labels``."""
         keys = self.nodes.having(labels)

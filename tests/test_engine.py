@@ -198,3 +198,40 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_created_edges_are_written_once(spark, monkeypatch):
+    """One narrow table for the new relationships; distinct ids are counted without dealing out the ids."""
+    e = GraphEngine(spark)
+    e.cypher("UNWIND range(1, 6) AS i CREATE (:P {i: i, text: 'long'})")
+    written, store = [], e.store
+    monkeypatch.setattr(e, "store", lambda df: written.append(len(df.columns)) or store(df))
+    monkeypatch.setattr(e, "settle", lambda df: pytest.fail("a checkpoint"))
+    e.cypher("MATCH (a:P), (b:P) WHERE a.i < b.i CREATE (a)-[:Q {gap: b.i - a.i}]->(b)")
+    assert written == [5]  # both ends, gap, and two columns for the ids
+    got = e.cypher("MATCH (a:P)-[r:Q]->(b:P) RETURN a.i AS a, count(*) AS n, sum(r.gap) AS gap, count(DISTINCT id(r)) AS ids")
+    assert sorted(tuple(r) for r in got.collect()) == [(i, 6 - i, (6 - i) * (7 - i) // 2, 6 - i) for i in range(1, 6)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "count(eid__" in plan
+    assert rows(e, "MATCH (a:P)-[r:Q]-(b:P) RETURN count(*) AS n, count(DISTINCT id(r)) AS ids") == [(30, 15)]
+    assert rows(e, "MATCH (a:P)-[r:Q]->(b:P), (c:P) RETURN count(*) AS n, count(DISTINCT id(r)) AS ids") == [(90, 15)]
+    assert rows(e, "MATCH (a:P)-[r:Q]->(b:P)-[:Q]->(c:P) RETURN count(*) AS n, count(DISTINCT id(r)) AS ids") == [(20, 10)]
+    assert rows(e, "MATCH (a:P)-[r:Q]->(b:P) UNWIND [1, 2] AS x RETURN count(DISTINCT id(r)) AS ids") == [(15,)]
+
+
+def test_ids_of_twins_without_one(spark):
+    from graphloom.sources.graph import PropertyGraph
+
+    g = PropertyGraph(spark).with_nodes(("T",), spark.range(3)).with_rels("U", spark.createDataFrame([(0, 1, 5), (0, 1, 5), (0, 2, 5)], "src long, dst long, w long"))
+    e = GraphEngine(spark, g)
+    e.cypher("MATCH (a:T) WHERE id(a) = 0 MATCH (b:T) WHERE id(b) = 1 CREATE (a)-[:U {w: 5}]->(b), (a)-[:U {w: 5}]->(b)")
+    assert rows(e, "MATCH (a:T)-[r:U]->(b:T) RETURN count(*) AS n, count(DISTINCT id(r)) AS ids") == [(5, 4)]
+
+
+def test_ends_lose_their_label(spark):
+    e = GraphEngine(spark)
+    e.cypher("UNWIND range(1, 3) AS i CREATE (:V {i: i})")
+    e.cypher("MATCH (a:V), (b:V) CREATE (a)-[:W]->(b)")
+    assert rows(e, "MATCH (a:V)-[:W]->(b:V) RETURN count(*) AS n") == [(9,)]
+    e.cypher("MATCH (a:V) WHERE a.i = 1 REMOVE a:V")
+    assert rows(e, "MATCH (a:V)-[:W]->(b:V) RETURN count(*) AS n") == [(4,)]
